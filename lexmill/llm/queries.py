@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query: its module and function, and the name of its SQL there.
 _QUERIES = {
     "op1_decontamination": ("decontam", "op1", "SQL1"),
+    "op8_simhash": ("simhash", "op8", None),
 }
 
 
