@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,12 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query: its module and function, and the name of its SQL there.
 _QUERIES = {
     "op1_decontamination": ("decontam", "op1", "SQL1"),
+    "op2_html_extraction": ("html_extract", "op2", None),
+    "op6_token_store": ("token_store", "op6", None),
     "op8_simhash": ("simhash", "op8", None),
 }
 
 
+def _run(module: str, f: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return getattr(import_module(f"lexmill.llm.{module}"), f)(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: getattr(import_module(f"lexmill.llm.{module}"), f) for name, (module, f, _) in _QUERIES.items()}
+    return {name: partial(_run, module, f) for name, (module, f, _) in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
