@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 _QUERIES = {
     "op1_decontamination": ("decontam", "op1", "SQL1"),
     "op2_html_extraction": ("html_extract", "op2", None),
+    "op3_quality_rules": ("quality_rules", "op3", "SQL3"),
     "op6_token_store": ("token_store", "op6", None),
     "op8_simhash": ("simhash", "op8", None),
 }
