@@ -13,8 +13,13 @@ _QUERIES = {
     "op1_decontamination": ("decontam", "op1", "SQL1"),
     "op2_html_extraction": ("html_extract", "op2", None),
     "op3_quality_rules": ("quality_rules", "op3", "SQL3"),
+    "op4_quality_classifier": ("quality_classifier", "op4", None),
+    "op5_license_scan": ("license_scan", "op5", "SQL5"),
     "op6_token_store": ("token_store", "op6", None),
+    "op7_line_dedup": ("line_dedup", "op7", "SQL7"),
     "op8_simhash": ("simhash", "op8", None),
+    "op9_sentencepiece": ("pieces", "op9", None),
+    "op10_pii": ("pii", "op10", "SQL10"),
 }
 
 
