@@ -435,7 +435,7 @@ def _top(s, d) -> DataFrame:
 
 query("top_words", f"with {_TOP} select topic, rank, token, {S.r6('p')} p from top")(lambda s, d: _top(s, d).select("topic", F.col("rank").cast("long").alias("rank"), "token", r6("p").alias("p")))
 query("topic_diversity", f"with {_TOP} select {S.r6('sum(case when n = 1 then 1 else 0 end) / sum(n)')} diversity from (select token, count(*) n from top group by 1)")(lambda s, d: metrics.diversity(_top(s, d)).select(r6("diversity").alias("diversity")))
-_OVERLAP = " + ".join(f"len(list_intersect(x.ws[1:{k}], y.ws[1:{k}])) / {k}.0" for k in range(1, 11))
+_OVERLAP = " + ".join(f"len(list_intersect(x.ws[1:{k}], y.ws[1:{k}])) / len(list_distinct(x.ws[1:{k}] || y.ws[1:{k}]))" for k in range(1, 11))
 query("rank_overlap", f"with {_TOP}, l as (select topic, list(token order by rank) ws from top group by 1) select x.topic topic_a, y.topic topic_b, {S.r6(f'({_OVERLAP}) / 10')} overlap, {S.r6(f'1 - ({_OVERLAP}) / 10')} inverted from l x join l y on x.topic < y.topic")(
     lambda s, d: metrics.topic_overlap(_top(s, d), 10).select("topic_a", "topic_b", r6("overlap").alias("overlap"), r6("inverted").alias("inverted"))
 )

@@ -10,8 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TAG = "<[^<>]+>"
-#: Control and zero-width characters, each of which becomes a space.
-ODD = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F\x{00AD}\x{200B}-\x{200F}\x{2028}\x{2029}\x{FEFF}]"
+#: Control and zero-width characters and the no-break space, each of which becomes a space.
+ODD = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F\x{00A0}\x{00AD}\x{200B}-\x{200F}\x{2028}\x{2029}\x{FEFF}]"
 FULL = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
 HALF = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + " "
 #: Characters of which a run becomes one.

@@ -169,12 +169,12 @@ def degrees(edges: DataFrame, key: str = "doc_id") -> DataFrame:
     return d.withColumn("start", 1 / (1 + F.exp(-F.col("degree").cast("double"))))
 
 
-def page_rank_table(edges: DataFrame, rounds: int = 10, damping: float = 0.85, cut_every: int = 5, weights: DataFrame | None = None) -> DataFrame:
+def page_rank_table(edges: DataFrame, rounds: int = 10, damping: float = 0.85, weights: DataFrame | None = None) -> DataFrame:
     """(node, score) of one large directed graph (src, dst, w) after a fixed number of rounds.
 
     Nodes without a way out spread over all. weights (node, weight) replaces the even
-    teleport. Each round is one join and one sum over the edges; the lineage is cut every
-    cut_every rounds.
+    teleport. Each round is one join and one sum over the edges. A round needs the scores
+    twice, so they are cut off after each: else plans would double every round.
     """
     out = edges.groupBy("src").agg(F.sum("w").alias("total"))
     share = cut(edges.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("share")))
@@ -189,10 +189,8 @@ def page_rank_table(edges: DataFrame, rounds: int = 10, damping: float = 0.85, c
         nodes = given.crossJoin(F.broadcast(total)).select("node", "dangling", (F.col("weight") / F.col("sum")).alias("t"), "n")
     nodes = cut(nodes)
     s = nodes.select("node", F.col("t").alias("score"))
-    for k in range(rounds):
+    for _ in range(rounds):
         got = share.join(s, share.src == s.node).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("share") * F.col("score")).alias("got"))
         lost = nodes.where("dangling").join(s, "node").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("lost"))
-        s = nodes.join(got, "node", "left").crossJoin(F.broadcast(lost)).select("node", ((1 - damping) * F.col("t") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / F.col("n"))).alias("score"))
-        if (k + 1) % cut_every == 0:
-            s = cut(s)
+        s = cut(nodes.join(got, "node", "left").crossJoin(F.broadcast(lost)).select("node", ((1 - damping) * F.col("t") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / F.col("n"))).alias("score")))
     return s

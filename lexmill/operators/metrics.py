@@ -43,9 +43,11 @@ def diversity(top: DataFrame) -> DataFrame:
 
 
 def rank_overlap(a: Column, b: Column, depth: int) -> Column:
-    """Mean over depths of the share of common items of two ranked lists' heads."""
+    """Mean over depths of the common items of two ranked lists' heads, as a share of the items of either."""
+
     def at(d: Column) -> Column:
-        return F.size(F.array_intersect(F.slice(a, F.lit(1), d), F.slice(b, F.lit(1), d))) / d.cast("double")
+        x, y = F.slice(a, F.lit(1), d), F.slice(b, F.lit(1), d)
+        return F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
 
     return F.aggregate(F.transform(F.sequence(F.lit(1), F.lit(depth)), at), F.lit(0.0), lambda s, x: s + x) / depth
 
