@@ -194,20 +194,20 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, text: str = "text", keep: list[str] | None = None, shard_rows: int = 20_000) -> DataFrame:
-    """The documents with fp (the fingerprint as a long) and component_id."""
+    """The documents with fp (the fingerprint as a long), group_fp (one fingerprint of its component) and component_id."""
 
     def make():
         return lambda texts: [pa.array([fingerprint(t, shingle) for t in texts], pa.int64())]
 
-    out = [c for c in (docs.columns if keep is None else keep) if c not in ("fp", "component_id")]
+    out = [c for c in (docs.columns if keep is None else keep) if c not in ("fp", "group_fp", "component_id")]
     prints = written(map_texts(docs, text, [T.StructField("fp", T.LongType())], make, [*dict.fromkeys([*out, "doc_id"])]), "fingerprints")
     fps = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(links(fps, radius, shard_rows))
     ids = fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     # only components of several fingerprints need a further minimum
     many = ids.join(roots.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("least").alias("component_id"))
-    comp = ids.join(many, "root", "left").select("fp", F.when(F.col("component_id").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
-    return prints.join(comp, "fp").select(*[F.col(f"`{c}`") for c in out], "fp", "component_id")
+    comp = ids.join(many, "root", "left").select("fp", F.col("root").alias("group_fp"), F.when(F.col("component_id").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    return prints.join(comp, "fp").select(*[F.col(f"`{c}`") for c in out], "fp", "group_fp", "component_id")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

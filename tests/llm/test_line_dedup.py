@@ -6,7 +6,7 @@ import duckdb
 from lexmill.llm import line_dedup as S
 
 
-def brute(rows, depth=3, least=8):
+def kept_lines(rows, depth=3, least=8):
     low = lambda s: re.sub("[A-Z]", lambda m: m[0].lower(), s)
     docs = [(S.LAST if d is None else d, None if t is None else t.split("\n")) for d, t in rows]
 
@@ -19,11 +19,18 @@ def brute(rows, depth=3, least=8):
         for line in lines or []:
             for k in keys(line):
                 where.setdefault(k, set()).add(d)
+    return [[x for x in lines or [] if not any(min(where[k]) < d for k in keys(x))] for d, lines in docs]
+
+
+def kept_texts(rows):
+    return ["\n".join(kept) for kept in kept_lines(rows)]
+
+
+def brute(rows):
     out = []
-    for (d0, t), (d, lines) in zip(rows, docs, strict=True):
-        kept = [x for x in lines or [] if not any(min(where[k]) < d for k in keys(x))]
-        text = "\n".join(kept)
-        out.append((d0, len(lines or []), len(lines or []) - len(kept), len(text), hashlib.sha256(text.encode()).hexdigest()))
+    for (d, t), kept in zip(rows, kept_lines(rows), strict=True):
+        n, text = 0 if t is None else t.count("\n") + 1, "\n".join(kept)
+        out.append((d, n, n - len(kept), len(text), hashlib.sha256(text.encode()).hexdigest()))
     return sorted(out, key=repr)
 
 

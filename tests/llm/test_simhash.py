@@ -67,7 +67,7 @@ def test_hot_shards_are_dealt_again_without_loss(spark):
 def test_empty_table_and_clashing_columns(spark):
     df = spark.createDataFrame([], "doc_id long, text string, fp string, component_id int, extra int")
     got = S.near_duplicates(df)
-    assert got.count() == 0 and got.columns == ["doc_id", "text", "extra", "fp", "component_id"]
+    assert got.count() == 0 and got.columns == ["doc_id", "text", "extra", "fp", "group_fp", "component_id"]
 
 
 def test_tree_finds_all_within_the_radius():
