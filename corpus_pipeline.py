@@ -37,12 +37,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that of the smallest id, the smallest text of those that share it."""
+    """One document of each group of near duplicates: that of the smallest id (of rows that share it, or of a group without ids, the row whose text has the smallest hash)."""
     found = near_duplicates(docs)
     alone = found.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
     # rows of one id are few but for broken input: the least of each is found by sums that merge, not by gathering them
     row = F.struct(F.xxhash64("text").alias("h"), *[F.col(f"`{c}`") for c in docs.columns])
-    without_id = alone.where("doc_id is null and component_id is null").groupBy("fp").agg(F.min(row).alias("r"))
+    without_id = alone.where("doc_id is null and component_id is null").groupBy("group_fp").agg(F.min(row).alias("r"))
     with_id = alone.where("doc_id is not null").groupBy("doc_id").agg(F.min(row).alias("r"))
     return with_id.select("r").unionAll(without_id.select("r")).select(*[F.col("r")[c].alias(c) for c in docs.columns])
 
