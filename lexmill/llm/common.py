@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -42,6 +44,18 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+@contextmanager
+def no_gc() -> Iterator[None]:
+    """Without the search for reference cycles, which goes through all words that a worker remembers; they form none."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose texts have about limit bytes."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -70,7 +84,8 @@ def map_texts(df: DataFrame, text: str, fields: list[T.StructField], make: Calla
         f = make()
         for batch in batches:
             for part in slices(batch, "__text"):
-                found = f(part.column("__text").to_pylist())
+                with no_gc():
+                    found = f(part.column("__text").to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *found], names=[*kept, *names])
 
     return source.mapInArrow(run, schema)

@@ -27,8 +27,12 @@ Repeated rows are each stored. Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import os
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,33 +40,51 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import shared_dir
+from lexmill.llm.common import no_gc, shared_dir
 
 BLOCK_BYTES = 1 << 20
 BLOCK_DOCS = 256
-CACHE_WORDS = 200_000
+CACHE_WORDS = 150_000
 BLOCKS = "shard int, block int, first long, last long, skip long, dictionary string, doc_ids array<long>, n_tokens array<long>, offsets array<long>, payload binary"
 
 
+#: A word that the pre-tokenizer cuts into its letters and the ASCII marks after them. İ is left out: its lower case is two characters.
+SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-/:-@\\[-`{-~]+)?")
+
+
 class Encoder:
     """Ids of texts by a tokenizers file, with the ids of words kept.
 
-    Only for tokenizers whose pre-tokenizer drops white space, so that a text's ids are
-    those of its words (split at ASCII white space) one after the other; others get the
-    whole text.
+    Tokenizers whose pre-tokenizer drops white space give a text the ids of its words
+    (split at ASCII white space) one after the other; the others get the whole text. Where
+    the pre-tokenizer moreover cuts SIMPLE words in two and marks the end of each part
+    (`WORD_PARTS`), the library's model gets the new parts of many words in one call, and
+    the end marks tell which ids are whose. Other words go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, end_id: int | None):
+    #: The pre-tokenizer's pattern whose cuts of SIMPLE words are known, and the mark.
+    WORD_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    END_MARK = "</w>"
+
+    def __init__(self, path: str):
         import json
 
-        from tokenizers import Tokenizer
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.by_word = self._drops_space(spec)
-        self.end = [] if end_id is None else [end_id]
+        self.model = None
+        first = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        if self.by_word and first["pattern"]["Regex"] == self.WORD_PARTS and spec["model"].get("end_of_word_suffix") == self.END_MARK and not spec["model"].get("ignore_merges"):
+            self.model = Tokenizer(self.tokenizer.model)
+            self.model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            self.ends = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
+            self.ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(self.END_MARK)]] = True
         self.known: dict[str, list[int]] = {}
+        self.parts: dict[str, list[int]] = {"": []}
 
     @staticmethod
     def _drops_space(spec: dict) -> bool:
@@ -73,24 +95,55 @@ class Encoder:
         keeps = any(t.get("lstrip") or t.get("rstrip") or set(t["content"]) & set(" \t\n\r\x0b\x0c") for t in spec.get("added_tokens") or [])
         return plain and not keeps and first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True and "[^\\s" in (first.get("pattern") or {}).get("Regex", "")
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+    def _learn(self, new: list[str]) -> None:
+        """The ids of words that are not known yet."""
+        odd, cut = new, []
+        if self.model is not None:
+            odd = []
+            for w in new:
+                m = SIMPLE.fullmatch(w)
+                if m:
+                    cut.append((w, m[1].lower(), m[2] or ""))
+                else:
+                    odd.append(w)
+            if len(self.parts) > CACHE_WORDS:
+                self.parts = {"": []}
+            fresh = list({p for c in cut for p in c[1:]} - self.parts.keys())
+            if fresh:
+                ids = np.array(self.model.encode_batch_fast([fresh], is_pretokenized=True, add_special_tokens=False)[0].ids, np.int64)
+                stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+                if len(stops) != len(fresh):
+                    raise ValueError("the model's end marks don't tell its words apart")
+                flat = ids.tolist()
+                self.parts.update(zip(fresh, (flat[i:j] for i, j in zip([0, *stops], stops, strict=False)), strict=True))
+            parts = self.parts
+            self.known.update((w, parts[a] + parts[b]) for w, a, b in cut)
+        if odd:
+            self.known.update(zip(odd, (e.ids for e in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)), strict=True))
+
+    def __call__(self, texts: list[str], end_id: int | None) -> list[np.ndarray]:
+        end = [] if end_id is None else [end_id]
         if not self.by_word:
-            return [np.array(e.ids + self.end, "<u4") for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            return [np.array(e.ids + end, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         words = [t.split(" ") if "\n" not in t and "\t" not in t else t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
         known = self.known
         if new := list(set().union(*words) - known.keys()):
-            known.update(zip(new, (e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)), strict=True))
+            self._learn(new)
         out = []
         for ws in words:
-            ids: list[int] = []
-            for w in ws:
-                ids += known[w]
-            out.append(np.array(ids + self.end, "<u4"))
+            ids = list(chain.from_iterable(map(known.__getitem__, ws)))
+            out.append(np.array(ids + end, "<u4"))
         return out
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One for each worker process, whatever its number of tasks."""
+    return Encoder(path)
+
+
 def train_dictionary(samples: list[bytes], size: int) -> bytes:
     """A zstandard dictionary, or an empty one where there is too little to learn from."""
     try:
@@ -106,8 +159,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
     # the sample's ids come from a pass over the ids alone; at most sample_docs texts meet the driver, cut into pieces of a dictionary's use
     ids = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
     chosen = rows.join(F.broadcast(ids), "doc_id").select(F.substring("text", 1, 4096).alias("text")).limit(2 * sample_docs)
-    encode = Encoder(tokenizer, end_id)
-    samples = [e.tobytes() for e in encode([r.text for r in chosen.collect()])]
+    samples = [e.tobytes() for e in encoder(tokenizer)([r.text for r in chosen.collect()], end_id)]
     dictionary = train_dictionary([s for s in samples if len(s) > 8], dictionary_bytes)
     name = hashlib.sha256(dictionary).hexdigest()
     spark.createDataFrame([(name, bytearray(dictionary))], "dictionary string, data binary").write.parquet(f"{path}/dictionary")
@@ -121,7 +173,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
     ranged = rows.withColumn("shard", shard.cast("int")).repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer, end_id)
+        encode = encoder(tokenizer)
         pressed = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(sent.value) if sent.value else None)
         ids, counts, offsets, frames, block, at, skip = [], [], [0], [], 0, None, 0
 
@@ -138,7 +190,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
         for batch in batches:
             for a in range(0, batch.num_rows, 128):
                 part = batch.slice(a, 128)
-                for doc_id, s, tokens in zip(part.column("doc_id").to_pylist(), part.column("shard").to_pylist(), encode(part.column("text").to_pylist()), strict=True):
+                with no_gc():
+                    found = encode(part.column("text").to_pylist(), end_id)
+                for doc_id, s, tokens in zip(part.column("doc_id").to_pylist(), part.column("shard").to_pylist(), found, strict=True):
                     if s != at and ids:
                         yield out()
                     if s != at:

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -41,10 +42,15 @@ def test_nulls_repeats_and_empty(spark):
     assert S.read_tokens(spark, path).count() == 0
 
 
-def test_words_alone_give_the_ids_of_the_text():
-    e, t = S.Encoder(PATH, None), Tokenizer.from_file(PATH)
-    assert e.by_word
-    for text in filter(None, TEXTS.values()):
-        assert e([text])[0].tolist() == t.encode(text, add_special_tokens=False).ids
-    whole = S.Encoder(public_tokenizers.path("byte_bpe_50k.json"), None)
-    assert not whole.by_word
+def test_words_alone_give_the_ids_of_the_text(spark):
+    e, t = S.Encoder(PATH), Tokenizer.from_file(PATH)
+    assert e.by_word and e.model is not None
+    rnd = random.Random(2)
+    alphabet = "abcXYZéÀßñŞİıŉǅ" + "'.,!#$|-_/<>" + "0٣" + " \n\t\r\xa0\u0301\u2028ΑΣς你🙂" + "st"
+    texts = [x for x in TEXTS.values() if x] + ["".join(rnd.choice(alphabet) for _ in range(rnd.randrange(40))) for _ in range(5000)]
+    texts += ["".join(map(chr, range(a, a + 64))) for a in range(0x21, 0x300, 64)] + [chr(c) + "a" + chr(c) + "." for c in range(0x21, 0x300)]
+    texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    for text in texts:
+        assert e([text], None)[0].tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)[:99]
+    whole = S.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not whole.by_word and whole(["a b", ""], 7)[0].tolist() == [*Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode("a b").ids, 7]
