@@ -11,9 +11,10 @@ from lexmill.functions import clean as C
 from lexmill.functions import lists
 from lexmill.functions import tokens as K
 from lexmill.functions.split import sentences
-from lexmill.operators import dataset, graph, information, metrics, phrases, retrieval, summary, terms, textrank, topics
+from lexmill.operators import dataset, graph, information, matrix, metrics, phrases, retrieval, summary, terms, textrank, topics
 from lexmill.plans import sql as S
 from lexmill.plans.corpus import tokenized
+from lexmill.plans.storage import cut
 from lexmill.sources.corpus import page_links
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -139,8 +140,8 @@ def _tf(s, d) -> DataFrame:
     return terms.term_frequency(terms.document_tokens(docs(s, d)))
 
 
-def _df(s, d) -> tuple[DataFrame, int]:
-    return terms.document_frequency(_tf(s, d)), docs(s, d).count()
+def _df(s, d, tf: DataFrame | None = None) -> tuple[DataFrame, int]:
+    return terms.document_frequency(_tf(s, d) if tf is None else tf), docs(s, d).count()
 
 
 query("term_frequency", f"with {S.TF} select * from tf")(_tf)
@@ -163,12 +164,19 @@ def _vocab(s, d):
     return terms.vocabulary(df, n)
 
 
-query("bow", f"with {_VOCAB} select doc_id, token_id, tf cnt from tf join vocab using (token)")(lambda s, d: terms.bag_of_words(_tf(s, d), _vocab(s, d)))
-query("doc_lengths", f"with {_VOCAB} select doc_id, cast(sum(tf) as bigint) length from tf join vocab using (token) group by 1")(lambda s, d: terms.doc_lengths(terms.bag_of_words(_tf(s, d), _vocab(s, d))))
 
 
-def _idf(s, d) -> DataFrame:
-    return terms.idf(*_df(s, d))
+def _bow(s, d) -> DataFrame:
+    tf = cut(_tf(s, d))
+    return terms.bag_of_words(tf, terms.vocabulary(*_df(s, d, tf)))
+
+
+query("bow", f"with {_VOCAB} select doc_id, token_id, tf cnt from tf join vocab using (token)")(_bow)
+query("doc_lengths", f"with {_VOCAB} select doc_id, cast(sum(tf) as bigint) length from tf join vocab using (token) group by 1")(lambda s, d: terms.doc_lengths(_bow(s, d)))
+
+
+def _idf(s, d, tf: DataFrame | None = None) -> DataFrame:
+    return terms.idf(*_df(s, d, tf))
 
 
 query("idf_log2", f"with {S.IDF} select token, {S.r6('weight')} weight from idf")(lambda s, d: _idf(s, d).withColumn("weight", r6("weight")))
@@ -183,7 +191,8 @@ query("weights_minmax", f"with {S.IDF} select token, {S.r6('(weight - min(weight
     f"with {S.IDF}, sc as (select doc_id, token, tf / sum(tf) over (partition by doc_id) * weight score from tf join idf using (token)), rk as (select *, row_number() over (partition by doc_id order by round(score, 9) desc, token) rank from sc) select doc_id, token, {S.r6('score')} score, rank from rk where rank <= 5",
 )
 def _(s, d):
-    found = terms.top(terms.tfidf(_tf(s, d), _idf(s, d)), 5, ["doc_id"], F.desc(F.round("score", 9)), F.asc("token"))
+    tf = cut(_tf(s, d))
+    found = terms.top(terms.tfidf(tf, _idf(s, d, tf)), 5, ["doc_id"], F.desc(F.round("score", 9)), F.asc("token"))
     return found.select("doc_id", "token", r6("score").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -225,7 +234,7 @@ def _(s, d):
 )
 def _(s, d):
     q = table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(K.tokenize(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
-    return retrieval.bm25(q, _tf(s, d)).select("query_id", "doc_id", r6("score").alias("score"), F.col("rank").cast("long").alias("rank"))
+    return retrieval.bm25(q, cut(_tf(s, d))).select("query_id", "doc_id", r6("score").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 _EDGES = f"{S.TOK}, off as (select unnest(range(1, 5)) k), e as materialized (select distinct x.doc_id, least(x.token, y.token) a, greatest(x.token, y.token) b from (select doc_id, pos + k pos, token from tok, off) x join tok y on x.doc_id = y.doc_id and y.pos = x.pos where x.token <> y.token)"
@@ -276,18 +285,24 @@ def _(s, d):
 UNKNOWN_IDF, UNKNOWN_PROMINENCE = 8.0, 0.1
 
 
-def _topic_tables(s, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
-    """topic_word, doc_topic, lengths, topics and words with the source as the topic."""
-    tw, dt, ln = topics.observed(_tf(s, d), docs(s, d).select("doc_id", F.col("source").alias("topic")))
+def _topic_tables(s, d, tf: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """topic_word, doc_topic, lengths, topics and words with the source as the topic; texts are cut into tokens once."""
+    tw, dt, ln = topics.observed(cut(_tf(s, d)) if tf is None else tf, docs(s, d).select("doc_id", F.col("source").alias("topic")))
     tm = topics.topic_marginals(dt, ln)
     return tw, dt, ln, tm, topics.word_marginals(tw, tm)
 
 
-def _prominence(s, d) -> DataFrame:
-    tw, _, _, tm, _ = _topic_tables(s, d)
+def _prominence(s, d, tf: DataFrame | None = None) -> DataFrame:
+    tw, _, _, tm, _ = _topic_tables(s, d, tf)
     return terms.min_max(topics.distinctiveness(tw, tm))
 
 
+def _weights(s, d) -> tuple[DataFrame, DataFrame]:
+    """The tables of idf and of topic prominence, from one table of term frequencies."""
+    tf = cut(_tf(s, d))
+    return _idf(s, d, tf), cut(_prominence(s, d, tf))
+
+
 _SUMMARY = f"""{S.DISTINCT}, idf as (select token, log2(n / df) weight from (select token, count(*) df from tf group by 1), (select count(*) n from documents)), {S.cleaned('documents', 'doc_id', 'text')},
     ss as materialized (select doc_id, unnest(range(len(s))) idx, unnest(s) sentence from (select doc_id, list_filter({S.sentences('text', 'latin_coarse')}, lambda s: regexp_matches(s, '\\p{{L}}')) s from cleaned)),
     stk as (select doc_id, idx, unnest({S.words('sentence')}) token from ss), sc as (select doc_id, token, count(*) tf, sum(count(*)) over (partition by doc_id) total from stk group by doc_id, token),
@@ -298,7 +313,7 @@ _SUMMARY = f"""{S.DISTINCT}, idf as (select token, log2(n / df) weight from (sel
 
 def _sentence_weights(s, d) -> DataFrame:
     sents = summary.kept_sentences(docs(s, d), "latin_coarse")
-    return summary.sentence_weights(sents, _idf(s, d), _prominence(s, d), UNKNOWN_IDF, UNKNOWN_PROMINENCE)
+    return summary.sentence_weights(sents, *_weights(s, d), UNKNOWN_IDF, UNKNOWN_PROMINENCE)
 
 
 query("summary_sentence_weights", f"with {_SUMMARY} select doc_id, idx, {S.r6('weight')} weight from sf")(lambda s, d: _sentence_weights(s, d).select("doc_id", F.col("idx").cast("long").alias("idx"), r6("weight").alias("weight")))
@@ -308,7 +323,7 @@ query(
     sp as (select *, max(case when idx = last then rank end) over (partition by doc_id) stop from rk)
     select doc_id, coalesce(string_agg(sentence, '' order by idx) filter (upto <= 200 and rank <= stop), max(case when rank = 1 then substr(sentence, 1, 200) end)) summary, count(*) filter (upto <= 200 and rank <= stop) n_taken from sp group by 1""",
 )(lambda s, d: summary.greedy(_sentence_weights(s, d)))
-query("summary")(lambda s, d: summary.summarize(docs(s, d), _idf(s, d), _prominence(s, d), UNKNOWN_IDF, UNKNOWN_PROMINENCE, criterion="latin_coarse"))
+query("summary")(lambda s, d: summary.summarize(docs(s, d), *_weights(s, d), UNKNOWN_IDF, UNKNOWN_PROMINENCE, criterion="latin_coarse"))
 
 _CASES = lambda column, weights, other: f"case {column} " + " ".join(f"when {S.quote(k) if isinstance(k, str) else k} then {v}" for k, v in weights.items()) + f" else {other} end"
 _PHRASES = f"""{S.DISTINCT}, idf as (select token, log2(n / df) weight from (select token, count(*) df from tf group by 1), (select count(*) n from documents)),
@@ -325,7 +340,7 @@ _PHRASES = f"""{S.DISTINCT}, idf as (select token, log2(n / df) weight from (sel
 
 
 def _candidates(s, d, **rules) -> DataFrame:
-    weighted = phrases.token_weights(phrases.tagged_tokens(docs(s, d), "latin_fine"), _idf(s, d), _prominence(s, d), UNKNOWN_IDF, UNKNOWN_PROMINENCE)
+    weighted = phrases.token_weights(phrases.tagged_tokens(docs(s, d), "latin_fine"), *_weights(s, d), UNKNOWN_IDF, UNKNOWN_PROMINENCE)
     return phrases.candidates(weighted, **rules)
 
 
@@ -429,8 +444,13 @@ def _(s, d):
 _TOP = f"{S.TOPIC}, top as materialized (select topic, rank, token, p from ({_ranked('tw', 'p')}) where rank <= 10)"
 
 
-def _top(s, d) -> DataFrame:
-    return topics.top_words(_topic_tables(s, d)[0], 10)
+def _top(s, d, tf: DataFrame | None = None) -> DataFrame:
+    return topics.top_words(_topic_tables(s, d, tf)[0], 10)
+
+
+def _co_documents(s, d) -> tuple[DataFrame, DataFrame]:
+    tf = cut(_tf(s, d))
+    return metrics.co_documents(cut(_top(s, d, tf)), tf)
 
 
 query("top_words", f"with {_TOP} select topic, rank, token, {S.r6('p')} p from top")(lambda s, d: _top(s, d).select("topic", F.col("rank").cast("long").alias("rank"), "token", r6("p").alias("p")))
@@ -441,12 +461,12 @@ query("rank_overlap", f"with {_TOP}, l as (select topic, list(token order by ran
 )
 _PAIRS = f"""{_TOP}, dt as (select distinct doc_id, token from tf where token in (select token from top)), one as (select token, count(*) d from dt group by 1), two as (select x.token a, y.token b, count(*) n from dt x join dt y using (doc_id) where x.token < y.token group by all),
     pairs as (select x.topic, x.token a, y.token b, coalesce(two.n, 0) both_n, ox.d da, oy.d db from top x join top y on x.topic = y.topic and x.rank < y.rank left join two on two.a = least(x.token, y.token) and two.b = greatest(x.token, y.token) join one ox on ox.token = x.token join one oy on oy.token = y.token)"""
-query("umass", f"with {_PAIRS} select topic, {S.r6('avg(ln((both_n + 1) / da))')} u_mass from pairs group by 1")(lambda s, d: metrics.u_mass(metrics.co_documents(_top(s, d), _tf(s, d))[0]).withColumn("u_mass", r6("u_mass")))
+query("umass", f"with {_PAIRS} select topic, {S.r6('avg(ln((both_n + 1) / da))')} u_mass from pairs group by 1")(lambda s, d: metrics.u_mass(_co_documents(s, d)[0]).withColumn("u_mass", r6("u_mass")))
 
 
 @query("coherence_uci_npmi", f"with {_PAIRS}, z as (select count(distinct doc_id) n from tf), q as (select topic, both_n / n + 1e-12 p, (da / n) * (db / n) i from pairs, z) select topic, {S.r6('avg(ln(p / i))')} c_uci, {S.r6('avg(case when p < 1 then ln(p / i) / -ln(p) else 1 end)')} c_npmi from q group by 1")
 def _(s, d):
-    return metrics.c_uci(*metrics.co_documents(_top(s, d), _tf(s, d))).select("topic", r6("c_uci").alias("c_uci"), r6("c_npmi").alias("c_npmi"))
+    return metrics.c_uci(*_co_documents(s, d)).select("topic", r6("c_uci").alias("c_uci"), r6("c_npmi").alias("c_npmi"))
 
 
 @query(
@@ -477,6 +497,31 @@ query(
 )(lambda s, d: metrics.centroid_similarity(table(s, d, "embeddings"), "label", "embedding").withColumn("cosine", r6("cosine")))
 
 
+@query(
+    "coherence_cv",
+    f"""with {_PAIRS}, z as (select count(distinct doc_id) n from tf), q as (select topic, a, b, both_n / n + 1e-12 p, (da / n) * (db / n) i from pairs, z), o as (select topic, a, b, case when p < 1 then ln(p / i) / -ln(p) else 1.0 end v from q),
+    t as materialized (select topic, a, b, v from o union all select topic, b, a, v from o union all select topic, token, token, 1.0 from top), s as (select topic, b, sum(v) s from t group by all),
+    c as (select topic, a, sum(v * s) / sqrt(sum(v * v) * sum(s * s)) c from t join s using (topic, b) group by all) select topic, {S.r6('avg(c)')} c_v from c group by 1""",
+)
+def _(s, d):
+    return metrics.c_v(*_co_documents(s, d)).select("topic", r6("c_v").alias("c_v"))
+
+
+def _word_vectors(s, d) -> DataFrame:
+    return metrics.word_vectors(docs(s, d).select(K.tokenize(F.col("text")).alias("tokens")))
+
+
+query("coherence_w2v")(lambda s, d: metrics.c_w2v(_top(s, d), _word_vectors(s, d)))
+query("embedding_overlap")(lambda s, d: metrics.embedding_overlap(_top(s, d), _word_vectors(s, d)))
+
+
+@query("matrix_multiply", f"with {S.TF}, l as (select lang, doc_id from documents) select lang \"row\", token col, cast(sum(tf) as double) v from tf join l using (doc_id) group by all")
+def _(s, d):
+    """Languages by documents times documents by tokens."""
+    a = docs(s, d).select(F.col("lang").alias("row"), F.col("doc_id").alias("col"), F.lit(1.0).alias("v"))
+    return matrix.multiply(a, _tf(s, d).select(F.col("doc_id").alias("row"), F.col("token").alias("col"), F.col("tf").cast("double").alias("v")))
+
+
 @query("mmr_selection")
 def _(s, d):
     """Five vectors of each label: like the label's mean, unlike one another."""
@@ -490,8 +535,9 @@ def _(s, d):
 
 
 def _features(s, d) -> tuple[DataFrame, DataFrame]:
-    vocab = _vocab(s, d)
-    return topics.vectors(terms.bag_of_words(_tf(s, d), vocab), vocab.count()).persist(), vocab
+    tf = cut(_tf(s, d))
+    vocab = cut(terms.vocabulary(*_df(s, d, tf)))
+    return cut(topics.vectors(terms.bag_of_words(tf, vocab), vocab.count())), vocab
 
 
 @query("lda_topics")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+from pyspark.ml.feature import Word2Vec
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.operators.information import divergence, pointwise
+from lexmill.plans.storage import cut
 
 
 def co_documents(top: DataFrame, tf: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -103,6 +108,64 @@ def centroid_similarity(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return pairs.join(first, "a").join(second, "b").select("a", "b", (F.col("dot") / (F.col("na") * F.col("nb"))).alias("cosine"))
 
 
+def c_v(pairs: DataFrame, n_docs: DataFrame, least: float = 1e-12) -> DataFrame:
+    """(topic, c_v): mean cosine of each top word's NPMI vector over the top words and the sum of these vectors."""
+    p = pairs.crossJoin(F.broadcast(n_docs)).select("topic", "a", "b", (F.col("both") / F.col("n_docs") + least).alias("p"), (F.col("da") / F.col("n_docs")).alias("px"), (F.col("db") / F.col("n_docs")).alias("py"))
+    one = cut(pointwise(p).select("topic", "a", "b", "npmi"))  # read four times below
+    words = one.select("topic", "a").unionByName(one.select("topic", F.col("b").alias("a"))).distinct()
+    table = one.unionByName(one.select("topic", F.col("b").alias("a"), F.col("a").alias("b"), "npmi")).unionByName(words.select("topic", "a", F.col("a").alias("b"), F.lit(1.0).alias("npmi")))
+    total = table.groupBy("topic", "b").agg(F.sum("npmi").alias("s"))
+    cos = table.join(total, ["topic", "b"]).groupBy("topic", "a").agg((F.sum(F.col("npmi") * F.col("s")) / F.sqrt(F.sum(F.col("npmi") * F.col("npmi")) * F.sum(F.col("s") * F.col("s")))).alias("cos"))
+    return cos.groupBy("topic").agg(F.avg("cos").alias("c_v"))
+
+
+def word_vectors(docs: DataFrame, tokens: str = "tokens", size: int = 32, least_count: int = 5, seed: int = 1) -> DataFrame:
+    """(token, vector) by Word2Vec over arrays of tokens."""
+    model = Word2Vec(vectorSize=size, minCount=least_count, seed=seed, inputCol=tokens, outputCol="__out").fit(docs.select(tokens))
+    return model.getVectors().select(F.col("word").alias("token"), vector_to_array("vector").alias("vector"))
+
+
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
+def cosine(a: Column, b: Column) -> Column:
+    return _dot(a, b) / F.sqrt(_dot(a, a) * _dot(b, b))
+
+
+def c_w2v(top: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(topic, c_w2v): mean cosine of the pairs of a topic's top words that have vectors."""
+    v = top.join(vectors, "token").select("topic", "rank", "vector")
+    pairs = v.alias("x").join(v.alias("y"), F.expr("x.topic = y.topic and x.rank < y.rank"))
+    return pairs.groupBy(F.col("x.topic").alias("topic")).agg(F.avg(cosine(F.col("x.vector"), F.col("y.vector"))).alias("c_w2v"))
+
+
+def matched_overlap(a: np.ndarray, b: np.ndarray) -> float:
+    """Mean over depths of the cosines of the heads' vectors, matched greedily from the closest pair on, each vector once."""
+    unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    near, depth, total = unit(a) @ unit(b).T, min(len(a), len(b)), 0.0
+    for d in range(1, depth + 1):
+        m, got = near[:d, :d].copy(), 0.0
+        for _ in range(d):
+            i, j = np.unravel_index(int(np.argmax(m)), m.shape)
+            got += m[i, j]
+            m[i, :] = m[:, j] = -np.inf
+        total += got / d
+    return total / depth if depth else 0.0
+
+
+def embedding_overlap(top: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(topic_a, topic_b, overlap, inverted) of topics' ranked top words by their vectors; the lists are short."""
+    v = top.join(vectors, "token").groupBy("topic").agg(F.sort_array(F.collect_list(F.struct("rank", "vector"))).alias("x")).select("topic", F.transform("x", lambda x: x["vector"]).alias("vs"))
+    pairs = v.alias("x").join(v.alias("y"), F.expr("x.topic < y.topic")).select(F.col("x.topic").alias("topic_a"), F.col("y.topic").alias("topic_b"), F.col("x.vs").alias("a"), F.col("y.vs").alias("b"))
+
+    @F.pandas_udf("double")
+    def overlap(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([matched_overlap(np.stack(x), np.stack(y)) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return pairs.select("topic_a", "topic_b", overlap("a", "b").alias("overlap")).withColumn("inverted", 1 - F.col("overlap"))
+
+
 def word_intrusion(hits: Column) -> Column:
     """Share of subjects that found the intruder."""
     return F.avg(hits.cast("double"))

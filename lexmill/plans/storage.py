@@ -1,8 +1,9 @@
-"""The folder that driver and executors share, for cutting long lineages."""
+"""The folder that driver and executors share: tables that several steps read, and cuts of long lineages."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +19,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df as a checkpoint that outlives lost executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """df as a table in the shared folder, computed once and read again; it outlives lost executors."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/lexmill-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 from lexmill.functions import lists
-from lexmill.operators import dataset, graph, information, metrics, phrases, retrieval, summary, terms, textrank, topics
+from lexmill.operators import dataset, graph, information, matrix, metrics, phrases, retrieval, summary, terms, textrank, topics
 from pyspark.sql import functions as F
 
 # fixed values: inputs whose results are known
@@ -201,3 +201,25 @@ def test_topic_model_states(spark, tmp_path):
     m.save(f"{tmp_path}/m")
     assert topics.TopicModel.load(f"{tmp_path}/m").transform(f).count() == 40
     assert math.isfinite(m.log_perplexity(f)) and m.partial_fit(f, f).model is not None
+
+
+def test_matrices(spark):
+    rnd = np.random.default_rng(1)
+    a, b = rnd.integers(0, 3, (4, 5)), rnd.integers(0, 3, (5, 3))
+    long = lambda m: spark.createDataFrame([(int(i), int(j), float(m[i, j])) for i, j in zip(*np.nonzero(m), strict=True)], "row int, col int, v double")
+    got = np.zeros((4, 3))
+    for r in matrix.multiply(long(a), long(b)).collect():
+        got[r.row, r.col] = r.v
+    assert (got == a @ b).all()
+    assert all(r.v == pytest.approx(1) for r in matrix.row_sums(matrix.normalized(long(a))).collect())
+    assert matrix.merged(long(a), matrix.transposed(matrix.transposed(long(a)))).where("a <> b").count() == 0
+
+
+def test_vector_measures(spark):
+    x = np.eye(3)
+    assert metrics.matched_overlap(x, x) == pytest.approx(1) and metrics.matched_overlap(x[:1], x[1:2]) == 0
+    top = spark.createDataFrame([(0, 1, "a"), (0, 2, "b"), (1, 1, "a"), (1, 2, "c")], "topic int, rank int, token string")
+    vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 0.0]), ("c", [0.0, 1.0])], "token string, vector array<double>")
+    assert {r.topic: round(r.c_w2v, 9) for r in metrics.c_w2v(top, vectors).collect()} == {0: 1.0, 1: 0.0}
+    r = metrics.embedding_overlap(top, vectors).first()
+    assert r.overlap == pytest.approx((1 + (1 + 0) / 2) / 2) and r.inverted == pytest.approx(1 - r.overlap)
