@@ -23,6 +23,7 @@ named like a result. An empty table gives none.
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -34,6 +35,8 @@ from pyspark.sql import types as T
 from lexmill.llm.common import map_texts
 
 MARK = "▁"
+#: Marks at the end of a word, which mostly share no piece with its letters.
+TAIL = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 KNOWN_WORDS, KNOWN_CHARS = 300_000, 40
 UNKNOWN_PENALTY = 10.0
 FIELDS = [T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("round_trip", T.BooleanType())]
@@ -78,9 +81,12 @@ class Model:
         usable = self._merge_trees() if self.bpe else list(self.score)
         self.automaton = ahocorasick.Automaton()
         for p in usable:
-            self.automaton.add_word(p, (len(p), p, self.score[p]))
+            self.automaton.add_word(p, (len(p), self.id[p], self.score[p]))
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.size = [len(p) for p in self.text]
+        self.chars = {p for p in self.score if len(p) == 1}
+        self.inner = {p[i : i + 2] for p in usable for i in range(len(p) - 1)}
+        self.pairs: dict[int, bool] = {}
         self.known: dict[str, list[int]] = {}
 
     # -- merge ranks ---------------------------------------------------------------------
@@ -136,84 +142,98 @@ class Model:
 
     # -- the pass ------------------------------------------------------------------------
 
-    def _best(self, word: str) -> list[str]:
-        """The word's pieces; a character without a piece stands for itself."""
-        n = len(word)
-        last: list[str | None] = [None] * (n + 1)  # piece on the best way to each position
-        filled = 0  # positions up to here are settled
-
-        def settle(upto: int) -> None:  # characters that no piece covers
-            nonlocal filled
-            for e in range(filled + 1, upto + 1):
-                self._unknown_step(word, e, last, value)
-            filled = max(filled, upto)
-
+    def _kept_apart(self, key: int) -> bool:
+        if len(self.pairs) > 1_000_000:
+            self.pairs.clear()
+        ok = self.pairs[key] = self.apart(self.text[key >> 32], self.text[key & 0xFFFFFFFF])
+        return ok
+
+    def _best(self, word: str) -> list[int]:
+        """The word's pieces by number; -1 stands for a character without a piece."""
+        n, unset = len(word), -2
+        last = [unset] * (n + 1)  # piece on the best way to each position
+        odd = [] if self.chars.issuperset(word) else [i for i, c in enumerate(word) if c not in self.chars]
+        k = 0  # characters without a piece that the pass has reached
         if self.bpe:
-            value: list[float] = []
-            pairs, apart = self.pairs, self.apart
+            known, settle = self.pairs.get, self._kept_apart
             for end, (size, piece, _) in self.automaton.iter(word):
-                if end > filled:
-                    settle(end)
-                if last[end + 1] is not None:
+                while k < len(odd) and odd[k] < end:
+                    last[odd[k] + 1] = -1
+                    k += 1
+                e = end + 1
+                if last[e] != unset:
                     continue
-                start = end + 1 - size
-                if start:
-                    before = last[start]
-                    if before is None:
+                before = last[e - size] if size < e else -1
+                if before >= 0:
+                    key = before << 32 | piece
+                    ok = known(key)
+                    if ok is None:
+                        ok = settle(key)
+                    if not ok:
                         continue
-                    if before in self.score:
-                        key = (before, piece)
-                        ok = pairs.get(key)
-                        if ok is None:
-                            if len(pairs) > 1_000_000:
-                                pairs.clear()
-                            ok = pairs[key] = apart(before, piece)
-                        if not ok:
-                            continue
-                last[end + 1] = piece
+                elif before == unset:
+                    continue
+                last[e] = piece
+            for i in odd[k:]:
+                last[i + 1] = -1
         else:
             value = [0.0] + [float("-inf")] * n
+
+            def unknown(i: int) -> None:
+                v = value[i] + self.unknown_score
+                if v > value[i + 1]:
+                    value[i + 1], last[i + 1] = v, -1
+
             for end, (size, piece, score) in self.automaton.iter(word):
-                if end > filled:
-                    settle(end)
+                while k < len(odd) and odd[k] < end:
+                    unknown(odd[k])
+                    k += 1
                 v = value[end + 1 - size] + score
                 if v > value[end + 1]:
                     value[end + 1], last[end + 1] = v, piece
-        settle(n)
+            for i in odd[k:]:
+                unknown(i)
         out, at = [], n
         while at:
-            out.append(last[at])
-            at -= len(last[at])
+            p = last[at]
+            out.append(p)
+            at -= self.size[p] if p >= 0 else 1
         return out[::-1]
 
-    def _unknown_step(self, word: str, e: int, last: list, value: list) -> None:
-        c = word[e - 1]
-        if c in self.score:
-            return
-        if self.bpe:
-            if last[e] is None and (e == 1 or last[e - 1] is not None):
-                last[e] = c
-        elif value[e - 1] + self.unknown_score > value[e]:
-            value[e], last[e] = value[e - 1] + self.unknown_score, c
-
     def _ids(self, word: str) -> list[int]:
         found = self.known.get(word)
         if found is not None:
             return found
-        ids: list[int] = []
-        for p in self._best(word):
-            if p in self.score:
-                ids.append(self.id[p])
-            elif self.bytes:
-                ids += [self.bytes[b] for b in p.encode("utf-8", "replace")]
-            elif not ids or ids[-1] != self.unknown:
-                ids.append(self.unknown)
+        n = len(word.rstrip(TAIL))
+        if 0 < n < len(word) and word[n - 1 : n + 1] not in self.inner:
+            # no piece holds these two characters side by side, so none spans them
+            ids = self._ids(word[:n]) + self._ids(word[n:])
+        else:
+            ids = self._best(word)
+            if -1 in ids:
+                ids = self._with_unknown(word, ids)
         if len(word) <= KNOWN_CHARS:
             if len(self.known) >= KNOWN_WORDS:
                 self.known.clear()
             self.known[word] = ids
         return ids
 
+    def _with_unknown(self, word: str, pieces: list[int]) -> list[int]:
+        """Bytes, or else one unknown piece for each run, in place of characters without a piece."""
+        ids: list[int] = []
+        at = 0
+        for p in pieces:
+            if p >= 0:
+                ids.append(p)
+                at += self.size[p]
+                continue
+            if self.bytes:
+                ids += [self.bytes[b] for b in word[at].encode("utf-8", "replace")]
+            elif not ids or ids[-1] != self.unknown:
+                ids.append(self.unknown)
+            at += 1
+        return ids
+
     def encode(self, text: str) -> list[int]:
         s = text if self.plain else self.library.normalize(text)
         if not s:
@@ -261,7 +281,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | Non
             ids = [m.encode(t) for t in plain]
             same = [m.decode(i) == t.replace(MARK, " ") for i, t in zip(ids, plain, strict=True)]
             sizes = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-            flat = np.fromiter((x for i in ids for x in i), np.int32, int(sizes[-1]))
+            flat = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes[-1]))
             return [pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat)), pa.array(same, pa.bool_())]
 
         return f
