@@ -32,7 +32,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -44,12 +44,13 @@ from lexmill.llm.common import no_gc, shared_dir
 
 BLOCK_BYTES = 1 << 20
 BLOCK_DOCS = 256
-CACHE_WORDS = 150_000
+CACHE_WORDS = 500_000
 BLOCKS = "shard int, block int, first long, last long, skip long, dictionary string, doc_ids array<long>, n_tokens array<long>, offsets array<long>, payload binary"
 
 
-#: A word that the pre-tokenizer cuts into its letters and the ASCII marks after them. İ is left out: its lower case is two characters.
-SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-/:-@\\[-`{-~]+)?")
+#: ASCII marks; and letters that are one character in lower case too (İ is not).
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+SIMPLE = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
 
 
 class Encoder:
@@ -57,9 +58,10 @@ class Encoder:
 
     Tokenizers whose pre-tokenizer drops white space give a text the ids of its words
     (split at ASCII white space) one after the other; the others get the whole text. Where
-    the pre-tokenizer moreover cuts SIMPLE words in two and marks the end of each part
-    (`WORD_PARTS`), the library's model gets the new parts of many words in one call, and
-    the end marks tell which ids are whose. Other words go through the whole tokenizer.
+    the pre-tokenizer moreover cuts words of SIMPLE letters and MARKS after them in two and
+    the model marks the end of each part (`WORD_PARTS`), the library's model gets the new
+    parts of many words in one call, and the end marks tell which ids are whose. Other words
+    go through the whole tokenizer.
     """
 
     #: The pre-tokenizer's pattern whose cuts of SIMPLE words are known, and the mark.
@@ -83,8 +85,8 @@ class Encoder:
             self.model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
             self.ends = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
             self.ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(self.END_MARK)]] = True
-        self.known: dict[str, list[int]] = {}
-        self.parts: dict[str, list[int]] = {"": []}
+        self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
 
     @staticmethod
     def _drops_space(spec: dict) -> bool:
@@ -97,45 +99,47 @@ class Encoder:
 
     def _learn(self, new: list[str]) -> None:
         """The ids of words that are not known yet."""
-        odd, cut = new, []
+        known, parts, odd = self.known, self.parts, new
         if self.model is not None:
-            odd = []
+            odd, cut = [], []
             for w in new:
-                m = SIMPLE.fullmatch(w)
-                if m:
-                    cut.append((w, m[1].lower(), m[2] or ""))
+                head = w.rstrip(MARKS)
+                if head.isascii() and head.isalpha() or SIMPLE.fullmatch(head):
+                    cut.append((w, head.lower(), w[len(head) :]))
                 else:
                     odd.append(w)
-            if len(self.parts) > CACHE_WORDS:
-                self.parts = {"": []}
-            fresh = list({p for c in cut for p in c[1:]} - self.parts.keys())
+            fresh = {a for _, a, _ in cut}
+            fresh.update(b for _, _, b in cut)
+            fresh = [p for p in fresh if p not in parts]
             if fresh:
-                ids = np.array(self.model.encode_batch_fast([fresh], is_pretokenized=True, add_special_tokens=False)[0].ids, np.int64)
-                stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+                ids = np.array(self.model.encode_batch_fast([fresh], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
+                stops = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
                 if len(stops) != len(fresh):
                     raise ValueError("the model's end marks don't tell its words apart")
-                flat = ids.tolist()
-                self.parts.update(zip(fresh, (flat[i:j] for i, j in zip([0, *stops], stops, strict=False)), strict=True))
-            parts = self.parts
-            self.known.update((w, parts[a] + parts[b]) for w, a, b in cut)
+                raw, at = ids.tobytes(), 0
+                for p, stop in zip(fresh, stops, strict=True):
+                    parts[p] = raw[at:stop]
+                    at = stop
+            for w, a, b in cut:
+                known[w] = parts[a] + parts[b]
         if odd:
-            self.known.update(zip(odd, (e.ids for e in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)), strict=True))
+            for w, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
+                known[w] = np.array(e.ids, "<u4").tobytes()
 
-    def __call__(self, texts: list[str], end_id: int | None) -> list[np.ndarray]:
-        end = [] if end_id is None else [end_id]
+    def __call__(self, texts: list[str], end_id: int | None) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers, end id included."""
+        end = b"" if end_id is None else end_id.to_bytes(4, "little")
         if not self.by_word:
-            return [np.array(e.ids + end, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return [np.array(e.ids, "<u4").tobytes() + end for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        words = [t.split(" ") if "\n" not in t and "\t" not in t else t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
+        if len(self.parts) > CACHE_WORDS:
+            self.parts = {"": b""}
+        words = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
         known = self.known
-        if new := list(set().union(*words) - known.keys()):
+        if new := list(set(filterfalse(known.__contains__, chain.from_iterable(words)))):
             self._learn(new)
-        out = []
-        for ws in words:
-            ids = list(chain.from_iterable(map(known.__getitem__, ws)))
-            out.append(np.array(ids + end, "<u4"))
-        return out
+        return [b"".join(map(known.__getitem__, ws)) + end for ws in words]
 
 
 @lru_cache(maxsize=2)
@@ -159,7 +163,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
     # the sample's ids come from a pass over the ids alone; at most sample_docs texts meet the driver, cut into pieces of a dictionary's use
     ids = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
     chosen = rows.join(F.broadcast(ids), "doc_id").select(F.substring("text", 1, 4096).alias("text")).limit(2 * sample_docs)
-    samples = [e.tobytes() for e in encoder(tokenizer)([r.text for r in chosen.collect()], end_id)]
+    samples = encoder(tokenizer)([r.text for r in chosen.collect()], end_id)
     dictionary = train_dictionary([s for s in samples if len(s) > 8], dictionary_bytes)
     name = hashlib.sha256(dictionary).hexdigest()
     spark.createDataFrame([(name, bytearray(dictionary))], "dictionary string, data binary").write.parquet(f"{path}/dictionary")
@@ -198,9 +202,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
                     if s != at:
                         block = skip = 0
                     at = s
-                    frame = pressed.compress(tokens.tobytes())
+                    frame = pressed.compress(tokens)
                     ids.append(doc_id)
-                    counts.append(len(tokens))
+                    counts.append(len(tokens) // 4)
                     frames.append(frame)
                     offsets.append(offsets[-1] + len(frame))
                     if len(ids) >= BLOCK_DOCS or offsets[-1] >= BLOCK_BYTES:
