@@ -257,10 +257,7 @@ query("degree_sigmoid", f"with {_EDGES} select doc_id, token, count(*) degree, {
     r as (select *, row_number() over (partition by doc_id order by round(score, 9) desc, token) rank from s20) select doc_id, token, {S.r6('score')} score, rank from r where rank <= 10""",
 )
 def _(s, d):
-    df = docs(s, d).withColumn("__t", K.tokenize(F.col("text")))
-    fields = textrank.T.StructField("k", textrank._SCORED)
-    make = lambda: lambda t: ([{"item": x, "score": v} for x, v in graph.keyword_scores(t or [], max_iter=20, min_diff=0.0)[:10]],)
-    found = graph.map_rows(df, "__t", [fields], make, ["doc_id"]).select("doc_id", F.posexplode("k").alias("i", "x"))
+    found = textrank.keywords(docs(s, d), 10, max_iter=20, min_diff=0.0, cleaned=False, filtered=False, keep=["doc_id"]).select("doc_id", F.posexplode("keywords").alias("i", "x"))
     return found.select("doc_id", F.col("x.item").alias("token"), r6("x.score").alias("score"), (F.col("i") + 1).cast("long").alias("rank"))
 
 

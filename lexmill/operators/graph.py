@@ -153,10 +153,10 @@ def map_rows(df: DataFrame, column: str, fields: list[T.StructField], make: Call
 
 
 def edges_of(df: DataFrame, tokens: Column, window: int = 4, key: str = "doc_id") -> DataFrame:
-    """(key, a, b): pairs of different tokens within the window, a < b, each once for a key; a slice of each array makes them, not a join."""
-    at = df.select(key, F.posexplode(tokens).alias("pos", "t"), tokens.alias("__all"))
-    near = at.select(key, "t", F.explode(F.slice("__all", F.col("pos") + 2, window)).alias("u")).where("t <> u")
-    return near.select(key, F.least("t", "u").alias("a"), F.greatest("t", "u").alias("b")).distinct()
+    """(key, a, b): pairs of different tokens within the window, a < b, each once for a key; slices of each array make them, not a join."""
+    pair = lambda t, u: F.struct(F.least(t, u).alias("a"), F.greatest(t, u).alias("b"))
+    near = F.flatten(F.transform("__all", lambda t, i: F.transform(F.slice("__all", i + 2, window), lambda u: pair(t, u))))
+    return df.select(key, tokens.alias("__all")).select(key, F.explode(near).alias("e")).where("e.a <> e.b").select(key, "e.a", "e.b").distinct()
 
 
 def both_ways(edges: DataFrame, key: str) -> DataFrame:

@@ -14,10 +14,10 @@ from lexmill.operators.graph import SentenceGraph, keyword_scores, map_rows
 _SCORED = T.ArrayType(T.StructType([T.StructField("item", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
-def keywords(docs: DataFrame, top_n: int | None = 10, window: int = 4, max_iter: int = 200, min_diff: float = 0.001, script: str | None = "letters", text: str = "text", cleaned: bool = True, keep: list[str] | None = None) -> DataFrame:
+def keywords(docs: DataFrame, top_n: int | None = 10, window: int = 4, max_iter: int = 200, min_diff: float = 0.001, script: str | None = "letters", text: str = "text", cleaned: bool = True, filtered: bool = True, keep: list[str] | None = None) -> DataFrame:
     """The documents with keywords: (item, score), the best top_n first."""
-    source = clean(F.col(text)) if cleaned else F.col(text)
-    df = docs.withColumn("__tokens", filter_tokens(tokenize(source), script=script))
+    tokens = tokenize(clean(F.col(text)) if cleaned else F.col(text))
+    df = docs.withColumn("__tokens", filter_tokens(tokens, script=script) if filtered else tokens)
 
     def make():
         def f(tokens: list | None):
