@@ -70,7 +70,8 @@ def dedup_lines(docs: DataFrame, depth: int = 3, least_words: int = 8, least_doc
     t = F.col(f"`{text}`")
     found = docs.select(d.alias("d"), F.xxhash64(t).alias("h"), F.explode(_templates(F.coalesce(t, F.lit("")), depth, least_words)).alias("x"))
     lines = written(found.select("d", "h", F.col("x.line").alias("line"), F.explode(F.array("x.even", "x.odd")).alias("template")), "lines")
-    marked = lines.join(recurring(lines, least_docs), "template")
+    # read from a table, both sides of the join are plain exchanges, and Spark can split a hot template's rows
+    marked = lines.join(written(recurring(lines, least_docs), "recurring"), "template")
     if keep_first:
         marked = marked.where("d > first")
     dropped = marked.groupBy("d", "h").agg(F.collect_set("line").alias("dropped"))
