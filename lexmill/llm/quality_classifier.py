@@ -1,12 +1,11 @@
 """Quality classifier: a sparse ensemble of rules over text statistics.
 
 1. Each whole text gives the statistics `STATS` (shares of character kinds, repeated
-   words and lines, word lengths) in one Arrow pass without a shuffle; they are written to
-   the shared folder, so texts are read once.
+   words and lines, word lengths) in one Arrow pass without a shuffle.
 2. Boosted trees of small depth are grown on a bounded sample of labelled rows:
    `train_rows` of them at most, those whose ids have the smallest hashes, so that the
-   sample does not depend on partitions. Each path from a root is a rule: a conjunction of
-   comparisons.
+   sample does not depend on partitions. Only these texts are looked at before the scoring
+   pass. Each path from a root is a rule: a conjunction of comparisons.
 3. Lasso logistic regression weighs the rules (proximal gradient steps over a falling
    penalty); the sparsest model within a quarter of a standard error of the best loss on
    held-aside rows of the sample stays.
@@ -32,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexmill.llm.common import map_texts, written
+from lexmill.llm.common import map_texts
 
 STATS = [
     "log_words", "word_length", "symbols", "pipes", "upper", "bangs", "digits", "periods", "commas", "other_marks", "non_ascii", "distinct", "adjacent", "words_a_line",
@@ -249,12 +248,13 @@ def fold(doc_id: Column, folds: int = 5) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds == 0
 
 
-def train(stats: DataFrame, labels: DataFrame, label: str = "quality", train_rows: int = 10_000) -> Ensemble:
-    """An ensemble from the documents' statistics and the labels outside of the held-out fold."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows: int = 10_000, text: str = "text") -> Ensemble:
+    """An ensemble from the texts and the labels outside of the held-out fold."""
     known = labels.select(F.col("doc_id").cast("long").alias("__id"), F.col(label).cast("int").alias("__y")).where(F.col("__y").isin(0, 1) & ~fold(F.col("__id"))).distinct()
     chosen = known.orderBy(F.xxhash64("__id"), "__id", "__y").limit(train_rows)
-    # at most train_rows rows are broadcast, and as many come back: a repeated id counts once
-    one = stats.join(F.broadcast(chosen), F.col("doc_id").cast("long") == F.col("__id")).groupBy("__id", "__y").agg(*[F.max(f"__{s}").alias(f"__{s}") for s in STATS])
+    # at most train_rows ids are broadcast; only their texts go on, and a repeated id counts once
+    texts = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col(f"`{text}`").alias("__t")).join(F.broadcast(chosen), "__id")
+    one = with_stats(texts, "__t", ["__id", "__y"]).groupBy("__id", "__y").agg(*[F.max(f"__{s}").alias(f"__{s}") for s in STATS])
     rows = one.orderBy(F.xxhash64("__id"), "__id", "__y").limit(train_rows).collect()
     x = np.array([[r[f"__{s}"] for s in STATS] for r in rows], np.float64).reshape(len(rows), len(STATS))
     return fit(x, np.array([r["__y"] for r in rows], np.float64))
@@ -264,10 +264,10 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", thresho
     """The documents with held_out, score (0 to 1, higher: label 1 likelier) and predicted (0 or 1)."""
     names = ["held_out", "score", "predicted"]
     out = [c for c in (docs.columns if keep is None else keep) if c not in names]
-    stats = written(with_stats(docs, text, [*dict.fromkeys([*out, "doc_id"])]), "stats")
-    score = train(stats.select("doc_id", *[f"__{s}" for s in STATS]), labels, label, train_rows).score()
-    scored = stats.withColumn("score", score).withColumn("predicted", (F.col("score") >= threshold).cast("int")).withColumn("held_out", F.coalesce(fold(F.col("doc_id")), F.lit(False)))
-    return scored.select(*[F.col(f"`{c}`") for c in out], *names)
+    score = train(docs, labels, label, train_rows, text).score()
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in out], F.lit(0).alias("__none")).alias("__row"), F.coalesce(fold(F.col("doc_id")), F.lit(False)).alias("held_out"), F.col(f"`{text}`").alias("__t"))
+    scored = with_stats(df, "__t", ["__row", "held_out"]).withColumn("score", score)
+    return scored.select(*[F.col("__row")[c].alias(c) for c in out], "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

@@ -55,8 +55,7 @@ def test_run_against_loops(spark, tmp_path):
     spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame(items, "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     read = lambda t: spark.read.parquet(f"{tmp_path}/{t}.parquet")
-    stats = quality.with_stats(read("documents"), keep=["doc_id"])
-    ensemble = quality.train(stats, read("labels"))
+    ensemble = quality.train(read("documents"), read("labels"))
     want = brute(docs, ensemble, items)
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     m = pieces.model(public_tokenizers.path("piece_bpe_32k.model"))

@@ -44,6 +44,8 @@ def test_rules_and_column_agree(spark):
 def test_cases(spark):
     rows = [(1, None), (2, ""), (3, "a"), (3, "a"), (None, "x y"), (4, " \n\n "), (5, "w " * 100000)]
     df = spark.createDataFrame([(*r, "z", 1.5) for r in rows], "doc_id long, text string, score string, __symbols double")
+    kept = S.classify(df, spark.createDataFrame([], "doc_id long, quality int"))
+    assert kept.columns == ["doc_id", "text", "__symbols", "held_out", "score", "predicted"] and {r["__symbols"] for r in kept.collect()} == {1.5}
     none = spark.createDataFrame([], "doc_id long, quality int")
     got = S.classify(df.drop("__symbols"), none).collect()
     assert len(got) == 7 and {r.score for r in got} == {0.5}
