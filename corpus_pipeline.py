@@ -38,13 +38,19 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that of the smallest id (of rows that share it, or of a group without ids, the row whose text has the smallest hash)."""
-    found = near_duplicates(docs)
-    alone = found.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
-    # rows of one id are few but for broken input: the least of each is found by sums that merge, not by gathering them
-    row = F.struct(F.xxhash64("text").alias("h"), *[F.col(f"`{c}`") for c in docs.columns])
-    without_id = alone.where("doc_id is null and component_id is null").groupBy("group_fp").agg(F.min(row).alias("r"))
-    with_id = alone.where("doc_id is not null").groupBy("doc_id").agg(F.min(row).alias("r"))
-    return with_id.select("r").unionAll(without_id.select("r")).select(*[F.col("r")[c].alias(c) for c in docs.columns])
+    hashed = F.xxhash64("text")
+    found = near_duplicates(docs.withColumn("__h", hashed), keep=["doc_id", "__h"])  # decisions go by hashes; texts move once, at the end
+    first = found.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
+    with_id = first.where("doc_id is not null").groupBy("doc_id").agg(F.min("__h").alias("__h"))
+    without_id = first.where("doc_id is null and component_id is null").groupBy("group_fp").agg(F.min("__h").alias("__h")).select(F.lit(None).cast("long").alias("doc_id"), "__h")
+    # -1 can't stand for a missing id alone, so a flag goes with it
+    keys = [F.coalesce("doc_id", F.lit(-1).cast("long")).alias("__d"), F.col("doc_id").isNull().alias("__null"), "__h"]
+    stay = with_id.select(F.col("doc_id").cast("long").alias("doc_id"), "__h").unionAll(without_id).select(*keys)
+    # equal rows meet in the tasks that read them, then once by key, where the join needs them too
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")).alias("__d"), F.col("doc_id").isNull().alias("__null"), hashed.alias("__h"), row.alias("__row"))
+    rows = rows.groupBy("__d", "__null", "__h").agg(F.min("__row").alias("__row"))
+    return rows.join(stay, ["__d", "__null", "__h"], "left_semi").select(*[F.col("__row")[c].alias(c) for c in docs.columns])
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
