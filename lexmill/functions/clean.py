@@ -79,16 +79,20 @@ def _peel(c: Column, pairs: tuple[str, ...]) -> Column:
 
 
 def remove_brackets(c: Column, pairs: tuple[str, ...] = PAIRS) -> Column:
-    """Bracketed text goes from the inside out until nothing changes.
+    """Bracketed text goes from the inside out until nothing changes; texts without a left bracket are left alone.
 
     ROUNDS rounds do for most texts; one that still has a whole pair gets as many more as
     it has left brackets, which no nesting exceeds.
     """
-    for _ in range(ROUNDS):
-        c = _peel(c, pairs)
     left = "[" + "".join(f"\\x{{{ord(p[0]):04X}}}" for p in pairs) + "]"
     more = lambda t: F.aggregate(F.sequence(F.lit(1), F.regexp_count(t, F.lit(left))), t, lambda a, _: _peel(a, pairs))
-    return bound(c, lambda t: F.when(t.rlike("|".join(map(_pair, pairs))), more(t)).otherwise(t))
+
+    def peeled(t: Column) -> Column:
+        for _ in range(ROUNDS):
+            t = _peel(t, pairs)
+        return bound(t, lambda u: F.when(u.rlike("|".join(map(_pair, pairs))), more(u)).otherwise(u))
+
+    return bound(c, lambda t: F.when(t.rlike(left), peeled(t)).otherwise(t))
 
 
 def remove_urls(c: Column) -> Column:
@@ -96,7 +100,7 @@ def remove_urls(c: Column) -> Column:
 
 
 def remove_emails(c: Column) -> Column:
-    return F.regexp_replace(c, EMAIL, "")
+    return bound(c, lambda t: F.when(F.contains(t, F.lit("@")), F.regexp_replace(t, EMAIL, "")).otherwise(t))
 
 
 def remove_phones(c: Column) -> Column:
