@@ -15,7 +15,7 @@ from lexmill.operators import dataset, graph, information, matrix, metrics, phra
 from lexmill.plans import sql as S
 from lexmill.plans.corpus import tokenized
 from lexmill.plans.storage import cut
-from lexmill.sources.corpus import page_links
+from lexmill.sources.corpus import page_links, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -45,7 +45,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"))
 
 
 def r6(c: Column | str) -> Column:
@@ -141,7 +141,7 @@ def _tf(s, d) -> DataFrame:
 
 
 def _df(s, d, tf: DataFrame | None = None) -> tuple[DataFrame, int]:
-    return terms.document_frequency(_tf(s, d) if tf is None else tf), docs(s, d).count()
+    return terms.document_frequency(_tf(s, d) if tf is None else tf), table(s, d, "documents").count()
 
 
 query("term_frequency", f"with {S.TF} select * from tf")(_tf)
@@ -284,7 +284,7 @@ UNKNOWN_IDF, UNKNOWN_PROMINENCE = 8.0, 0.1
 
 def _topic_tables(s, d, tf: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
     """topic_word, doc_topic, lengths, topics and words with the source as the topic; texts are cut into tokens once."""
-    tw, dt, ln = topics.observed(cut(_tf(s, d)) if tf is None else tf, docs(s, d).select("doc_id", F.col("source").alias("topic")))
+    tw, dt, ln = topics.observed(cut(_tf(s, d)) if tf is None else tf, table(s, d, "documents").select("doc_id", F.col("source").alias("topic")))
     tm = topics.topic_marginals(dt, ln)
     return tw, dt, ln, tm, topics.word_marginals(tw, tm)
 
@@ -361,10 +361,10 @@ for _name, (_t, _x, _y) in {"joint_entropy_labels": ("labels", "quality", "toxic
         f"with {_JOINT.format(t=_t, x=_x, y=_y)}, h as (select -sum(p * ln(px)) h_x, -sum(p * ln(py)) h_y, -sum(p * ln(p)) h_xy, sum(p * ln(p / (px * py))) mi from j) select {', '.join(f'{S.r6(e)} {n}' for n, e in {'h_x': 'h_x', 'h_y': 'h_y', 'h_xy': 'h_xy', 'h_y_given_x': 'h_xy - h_x', 'mi': 'mi', 'nmi': 'mi / h_xy'}.items())} from h",
     )(lambda s, d, t=_t, x=_x, y=_y: information.joint_statistics(table(s, d, t), x, y).select(*[r6(c).alias(c) for c in ("h_x", "h_y", "h_xy", "h_y_given_x", "mi", "nmi")]))
 query("bayes_lang_source", f"with {_JOINT.format(t='documents', x='lang', y='source')} select x, y, {', '.join(f'{S.r6(e)} {n}' for n, e in {'p': 'p', 'px': 'px', 'py': 'py', 'y_given_x': 'p / px', 'x_given_y': 'p / py'}.items())} from j")(
-    lambda s, d: information.bayes(docs(s, d), "lang", "source").select("x", "y", *[r6(c).alias(c) for c in ("p", "px", "py", "y_given_x", "x_given_y")])
+    lambda s, d: information.bayes(table(s, d, "documents"), "lang", "source").select("x", "y", *[r6(c).alias(c) for c in ("p", "px", "py", "y_given_x", "x_given_y")])
 )
 query("pmi_npmi", f"with {S.TF}, t as (select token, lang, tf from tf join documents using (doc_id)), j as (select token, lang, n / sum(n) over () p, sum(n) over (partition by token) / sum(n) over () px, sum(n) over (partition by lang) / sum(n) over () py from (select token, lang, sum(tf) n from t group by all)) select token x, lang y, {S.r6('ln(p / (px * py))')} pmi, {S.r6('ln(p / (px * py)) / -ln(p)')} npmi from j")(
-    lambda s, d: information.pointwise(information.joint(terms.document_tokens(docs(s, d).select("doc_id", "text")).join(docs(s, d).select("doc_id", "lang"), "doc_id"), "token", "lang")).select("x", "y", r6("pmi").alias("pmi"), r6("npmi").alias("npmi"))
+    lambda s, d: information.pointwise(information.joint(terms.document_tokens(docs(s, d).select("doc_id", "text")).join(table(s, d, "documents").select("doc_id", "lang"), "doc_id"), "token", "lang")).select("x", "y", r6("pmi").alias("pmi"), r6("npmi").alias("npmi"))
 )
 
 
@@ -515,7 +515,7 @@ query("embedding_overlap")(lambda s, d: metrics.embedding_overlap(_top(s, d), _w
 @query("matrix_multiply", f"with {S.TF}, l as (select lang, doc_id from documents) select lang \"row\", token col, cast(sum(tf) as double) v from tf join l using (doc_id) group by all")
 def _(s, d):
     """Languages by documents times documents by tokens."""
-    a = docs(s, d).select(F.col("lang").alias("row"), F.col("doc_id").alias("col"), F.lit(1.0).alias("v"))
+    a = table(s, d, "documents").select(F.col("lang").alias("row"), F.col("doc_id").alias("col"), F.lit(1.0).alias("v"))
     return matrix.multiply(a, _tf(s, d).select(F.col("doc_id").alias("row"), F.col("token").alias("col"), F.col("tf").cast("double").alias("v")))
 
 
@@ -569,7 +569,7 @@ def _(s, d):
     from pyspark.ml.feature import StringIndexer
 
     features, _ = _features(s, d)
-    found = topics.TopicModel(10, seed=1).fit(features).model.transform(features).join(docs(s, d).select("doc_id", "lang"), "doc_id")
+    found = topics.TopicModel(10, seed=1).fit(features).model.transform(features).join(table(s, d, "documents").select("doc_id", "lang"), "doc_id")
     found = StringIndexer(inputCol="lang", outputCol="label", stringOrderType="alphabetAsc").fit(found).transform(found)
     held = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
     model = RandomForestClassifier(featuresCol="topicDistribution", seed=1, numTrees=20).fit(found.where(~held))
@@ -580,9 +580,9 @@ def _(s, d):
 
 # -- datasets --------------------------------------------------------------------------------
 
-query("shuffle_hash")(lambda s, d: dataset.shuffled(docs(s, d), "doc_id").select("doc_id", "lang"))
-query("sample_prefix", "select doc_id, lang, source from documents order by doc_id limit 150")(lambda s, d: dataset.prefix(docs(s, d).select("doc_id", "lang", "source"), ["doc_id"]))
-query("row_index", "select doc_id, row_number() over (order by doc_id) - 1 row_index from documents")(lambda s, d: dataset.row_index(docs(s, d).select("doc_id"), ["doc_id"]))
+query("shuffle_hash")(lambda s, d: dataset.shuffled(table(s, d, "documents"), "doc_id").select("doc_id", "lang"))
+query("sample_prefix", "select doc_id, lang, source from documents order by doc_id limit 150")(lambda s, d: dataset.prefix(table(s, d, "documents").select("doc_id", "lang", "source"), ["doc_id"]))
+query("row_index", "select doc_id, row_number() over (order by doc_id) - 1 row_index from documents")(lambda s, d: dataset.row_index(table(s, d, "documents").select("doc_id"), ["doc_id"]))
 query("union_sources", "select 0 source_idx, row_number() over (order by text) - 1 inner_idx, text from (select text from documents) union all select 1, row_number() over (order by text) - 1, text from (select text from benchmark)")(
     lambda s, d: dataset.Chained([docs(s, d).select("text"), table(s, d, "benchmark").select("text")], ["text"]).rows().select("source_idx", "inner_idx", "text")
 )

@@ -29,6 +29,15 @@ def read_dataset(spark: SparkSession, path: str, schema: str | T.StructType | No
     return (spark.read if schema is None else spark.read.schema(schema)).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The table dealt over the cores where its files give fewer scan tasks than that; a large table stays as it is read.
+
+    A small file of one row group would else be one task's work.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < 2 * cores else df
+
+
 def read_many(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
     """Several datasets as one, in their order."""
     return reduce(DataFrame.unionByName, [read_dataset(spark, p, schema) for p in paths])
