@@ -10,12 +10,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import shared_dir
+from lexmill.llm.common import shared_dir, written
 from lexmill.llm.decontam import decontaminate
 from lexmill.llm.line_dedup import dedup_lines
+from lexmill.llm.near_copies import near_copies as similar
 from lexmill.llm.pieces import encode
 from lexmill.llm.quality_classifier import classify
-from lexmill.llm.simhash import near_duplicates
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,15 +37,15 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that of the smallest id (of rows that share it, or of a group without ids, the row whose text has the smallest hash)."""
+    """One document of each group linked by five-word Jaccard similarities of 0.8 or more: that of the smallest id (of rows that share it, or of a group without ids, the row whose text has the smallest hash)."""
     hashed = F.xxhash64("text")
-    found = near_duplicates(docs.withColumn("__h", hashed), keep=["doc_id", "__h"])  # decisions go by hashes; texts move once, at the end
-    first = found.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
-    with_id = first.where("doc_id is not null").groupBy("doc_id").agg(F.min("__h").alias("__h"))
-    without_id = first.where("doc_id is null and component_id is null").groupBy("group_fp").agg(F.min("__h").alias("__h")).select(F.lit(None).cast("long").alias("doc_id"), "__h")
+    found = written(similar(docs.withColumn("__h", hashed).select("doc_id", "text", "__h"), keep=["doc_id", "__h"]), "groups")  # decisions go by hashes; texts move once, at the end
+    # of each group the smallest id, then the smallest hash of a text; ids come before rows without one
+    best = found.groupBy("group_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__h")).alias("x"))
+    best = best.select("x.doc_id", "x.__h")
     # -1 can't stand for a missing id alone, so a flag goes with it
     keys = [F.coalesce("doc_id", F.lit(-1).cast("long")).alias("__d"), F.col("doc_id").isNull().alias("__null"), "__h"]
-    stay = with_id.select(F.col("doc_id").cast("long").alias("doc_id"), "__h").unionAll(without_id).select(*keys)
+    stay = best.select(F.col("doc_id").cast("long").alias("doc_id"), "__h").select(*keys)
     # equal rows meet in the tasks that read them, then once by key, where the join needs them too
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")).alias("__d"), F.col("doc_id").isNull().alias("__null"), hashed.alias("__h"), row.alias("__row"))
