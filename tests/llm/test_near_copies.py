@@ -60,3 +60,10 @@ def test_stage_drops_a_copy_beyond_three_bits(spark):
     assert jaccard(rows[0][1], rows[1][1]) > 0.8 > jaccard(rows[0][1], rows[2][1])
     got = corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert sorted(r.doc_id for r in got.collect()) == [1, 3, 4]
+
+
+def test_stage_keeps_a_row_of_each_group_that_shares_an_id(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(60)) for c in "ab"]
+    rows = [(1, texts[0]), (1, texts[1]), (2, texts[0]), (2, texts[1])]
+    got = corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == [(1, texts[0]), (1, texts[1])]
