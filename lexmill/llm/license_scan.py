@@ -3,7 +3,7 @@
 Texts become words in ASCII lower case with one space between and around them. Rules are
 regexes over that form, built from a table of licenses (`LICENSES`) and sentence frames
 (`FRAMES`), and from full-text signatures (`SIGNATURES`). A rule runs only on a text that
-holds its keyword, and none runs on a text without one of `ANCHORS`.
+holds strings that all its matches hold (`gates`, read off its pattern).
 
 Matches overlap, so two steps resolve them. A match within another one is dropped (of
 equal intervals the rule that comes first stays). Of those that still overlap, one that
@@ -22,6 +22,7 @@ none.
 
 from __future__ import annotations
 
+import re._parser as parser
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -37,7 +38,7 @@ _FROM, _TO = "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + _OTHER, "abcdefghijklmnopqrstuvwxyz"
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 BASE_SCORE = 0.9
 
-#: Label: keyword that any match holds, SPDX name in words, other names (regexes over words).
+#: Label: keyword (SQL5's gate), SPDX name in words, other names (regexes over words).
 LICENSES = {
     "mit": ("mit", "mit", "mit|expat"),
     "mit-0": ("mit", "mit 0", "mit no attribution"),
@@ -141,11 +142,42 @@ SIGNATURES = (
     ("proprietary", "proprietary and", "(?:confidential|proprietary) and (?:confidential|proprietary)", 0.6),
     ("proprietary", "may not be reproduced", "may not be reproduced (?:distributed )?(?:or transmitted )?(?:in whole or in part )?without (?:the )?(?:prior )?(?:express )?(?:written )?permission", 0.6),
 )
-#: A text without one of these holds no rule's match.
+#: What SQL5 asks of a text before its rules; it misses some matches, so the scan uses `anchors` and `gates`.
 ANCHORS = "licen[cs]e|reserved|public domain|permission|redistribution|advertising materials|creative ?commons|unencumbered|mozilla org mpl|express or implied|unless required by|proprietary and"
 MOST, LOOK_BACK = 512, 16_384
 
 
+def gates(pattern: str) -> list[list[str]]:
+    """Lists of strings, the most telling first: any match of the pattern holds a string of each list.
+
+    A list is a run of plain characters outside of optional parts, or one for each branch of a group.
+    """
+
+    def lists(tree) -> list[list[str]]:
+        out, run = [], ""
+        for op, arg in [*tree, (None, None)]:
+            if str(op) == "LITERAL":
+                run += chr(arg)
+                continue
+            out, run = ([*out, [run]] if run else out), ""
+            if str(op) == "SUBPATTERN":
+                out += lists(arg[-1])
+            elif str(op) == "BRANCH":
+                ways = [lists(way) for way in arg[1]]
+                if all(ways):
+                    out.append(sorted({x for way in ways for x in max(way, key=telling)}))
+        return out
+
+    telling = lambda x: min(map(len, x))
+    return sorted(lists(parser.parse(pattern)), key=telling, reverse=True)
+
+
+def anchors(own: list[Rule]) -> str:
+    """A regex that finds something in each text that holds a match of one of the rules."""
+    found = {x for r in own for x in gates(r.pattern)[0]}
+    return "|".join(sorted(x for x in found if not any(y != x and y in x for y in found)))
+
+
 @dataclass(frozen=True)
 class Rule:
     label: str
@@ -186,8 +218,8 @@ def _base(t: Column, n_words: Column) -> Column:
 
 def _detected(t: Column, own: list[Rule]) -> Column:
     """All rules' matches without the spaces around them as (start, less = -end, rule, score, label), sorted."""
-    table = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit(r.pattern).alias("pattern"), F.lit(r.score).alias("score")) for i, r in enumerate(own)])
-    gated = F.filter(table, lambda r: F.contains(t, r["keyword"]))
+    table = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(r.label).alias("label"), F.array(*[F.array(*map(F.lit, x)) for x in gates(r.pattern) if min(map(len, x)) > 2]).alias("gates"), F.lit(r.pattern).alias("pattern"), F.lit(r.score).alias("score")) for i, r in enumerate(own)])
+    gated = F.filter(table, lambda r: F.forall(r["gates"], lambda x: F.exists(x, lambda g: F.contains(t, g))))
 
     def of(r: Column) -> Column:
         found = located(t, r["pattern"], matches_of(t, r["pattern"]), 1)
@@ -216,7 +248,7 @@ def scan(docs: DataFrame, own: list[Rule] | None = None, text: str = "text", kee
     out = [c for c in (docs.columns if keep is None else keep) if c not in names]
     df = docs.select(F.struct(*[F.col(f"`{c}`") for c in out], F.lit(0).alias("__none")).alias("__row"), in_words(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("__t"))
     t = F.col("__t")
-    df = df.select("__row", "__t", (_spaces(t) - 1).alias("n_words"), t.rlike(ANCHORS).alias("__gate"))
+    df = df.select("__row", "__t", (_spaces(t) - 1).alias("n_words"), t.rlike(anchors(own)).alias("__gate"))
     none = F.array().cast("array<struct<start:bigint,less:bigint,rule:int,score:double,label:string>>")
     df = df.select("__row", "n_words", _base(t, F.col("n_words")).alias("base"), F.when(F.col("__gate"), _detected(t, own)).otherwise(none).alias("__all"))
     df = df.select("__row", "n_words", "base", _outer(F.col("__all")).alias("__outer"))

@@ -52,3 +52,38 @@ def test_tables(spark):
     got = S.scan(df)
     assert got.columns == ["doc_id", "text", "n_words", "base", "detections"] and got.count() == 3 and S.scan(df.limit(0)).count() == 0
     assert [d.label for d in got.first().detections] == ["mit"]
+
+
+def matches_of(tree):
+    """A match for each alternative of a parsed pattern, its optional parts left out."""
+    out = [""]
+    for op, arg in tree:
+        if str(op) == "LITERAL":
+            more = [chr(arg)]
+        elif str(op) == "IN":
+            more = [chr(a if str(kind) == "LITERAL" else a[0]) for kind, a in arg]
+        elif str(op) == "SUBPATTERN":
+            more = matches_of(arg[-1])
+        elif str(op) == "BRANCH":
+            more = [m for way in arg[1] for m in matches_of(way)]
+        else:
+            assert str(op) == "MAX_REPEAT" and arg[0] == 0
+            more = [""]
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def test_gates_hold_for_a_match_of_every_alternative():
+    own, n = S.rules(), 0
+    anchors = re.compile(S.anchors(own))
+    for r in own:
+        for t in matches_of(S.parser.parse(r.pattern)):
+            n += 1
+            assert re.fullmatch(r.pattern, t) and anchors.search(t) and all(any(g in t for g in x) for x in S.gates(r.pattern)), (r, t)
+    assert n > 1000
+
+
+def test_matches_without_the_old_keywords(spark):
+    texts = {"Released under the GNU GPL version 2": "gpl", "Released under CC BY-SA 4.0": "cc-by-sa", "Distributed under Apache 2.0": "apache-2", "confidential and proprietary": "proprietary", "gnu.org/copyleft/gpl.html": "gpl", "Licensed under the Expat license": "mit"}
+    got = S.scan(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert {r.text: [d.label for d in r.detections] for r in got.collect()} == {t: [x] for t, x in texts.items()}
