@@ -527,8 +527,7 @@ def _(s, d):
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
     items = e.join(mean.select("label", F.transform("m", lambda x: x["v"]).alias("m")), "label").select("label", F.col("vec_id").alias("item"), F.col("embedding").cast("array<double>").alias("v"), "m")
     items = items.withColumn("rel", dot(F.col("v"), F.col("m")) / F.sqrt(dot(F.col("v"), F.col("v")) * dot(F.col("m"), F.col("m"))))
-    short = terms.top(items, 100, ["label"], F.desc("rel"), F.asc("item"))  # a short list for each label, as after a retrieval
-    return retrieval.mmr(short, "label", "rel", "v")
+    return retrieval.mmr(cut(items.select("label", "item", "rel", "v")), "label", "rel", "v")
 
 
 def _features(s, d) -> tuple[DataFrame, DataFrame]:

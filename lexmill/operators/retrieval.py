@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,22 +33,22 @@ def bm25(queries: DataFrame, tf: DataFrame, k1: float = 1.5, b: float = 0.75, k3
 def mmr(items: DataFrame, key: str, relevance: str, vector: str, n: int = 5, weight: float = 0.5) -> DataFrame:
     """(key, item, score, rank): n items of each key, each the best of weight * relevance - (1 - weight) * its largest cosine to those taken.
 
-    The choice is truly sequential; a key's candidates (a retrieval's short list) are one task's.
+    The choice is sequential over n rounds; in each, all items of all keys are compared where
+    they lie, and only a best item for each key is shuffled. Items are known by their ids.
     """
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("item").reset_index(drop=True)
-        v = np.array(part["vector"].tolist(), np.float64).reshape(len(part), -1)
-        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-        rel, near, taken = part["relevance"].to_numpy(), np.zeros(len(part)), []
-        for _ in range(min(n, len(part))):
-            value = weight * rel - (1 - weight) * near
-            value[[k for k, _ in taken]] = -np.inf
-            k = int(np.argmax(np.round(value, 9)))
-            taken.append((k, float(value[k])))
-            near = np.maximum(near, v @ v[k]) if len(taken) > 1 else v @ v[k]
-        return pd.DataFrame({"key": [part["key"].iloc[0]] * len(taken), "item": [part["item"].iloc[k] for k, _ in taken], "score": [s for _, s in taken], "rank": range(1, len(taken) + 1)})
-
-    given = items.select(F.col(key).alias("key"), "item", F.col(relevance).cast("double").alias("relevance"), F.col(vector).alias("vector"))
-    kinds = dict(given.dtypes)
-    return given.groupBy("key").applyInPandas(run, f"key {kinds['key']}, item {kinds['item']}, score double, rank long")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+    given = items.select(F.col(key).alias("key"), "item", F.col(relevance).cast("double").alias("relevance"), F.col(vector).cast("array<double>").alias("vector"))
+    unit = F.transform("vector", lambda x: x / F.greatest(F.col("norm"), F.lit(1e-12)))
+    given = given.withColumn("norm", F.sqrt(dot(F.col("vector"), F.col("vector")))).select("key", "item", "relevance", unit.alias("vector"))
+    none = F.array().cast(f"array<struct<value:double,item:{dict(given.dtypes)['item']},score:double,vector:array<double>>>")
+    taken = given.select("key").distinct().withColumn("taken", none)
+    near = F.coalesce(F.array_max(F.transform("taken", lambda x: dot(x["vector"], F.col("vector")))), F.lit(0.0))
+    value = weight * F.col("relevance") - (1 - weight) * near
+    is_free = ~F.exists("taken", lambda x: x["item"] == F.col("item"))
+    for _ in range(n):
+        rows = given.join(F.broadcast(taken), "key").withColumn("score", value)
+        best = F.min(F.when(is_free, F.struct((-F.round("score", 9)).alias("value"), "item", "score", "vector")))
+        rows = rows.groupBy("key").agg(F.first("taken").alias("taken"), best.alias("best"))
+        taken = rows.select("key", F.when(F.col("best").isNull(), F.col("taken")).otherwise(F.concat("taken", F.array("best"))).alias("taken"))
+    found = taken.select("key", F.posexplode("taken").alias("at", "x"))
+    return found.select("key", "x.item", "x.score", (F.col("at") + 1).cast("long").alias("rank"))

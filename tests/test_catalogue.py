@@ -38,3 +38,11 @@ def test_query_against_sql(spark, con, name):
 @pytest.mark.parametrize("name", ["html_unescape_full", "textrank_keywords", "textrank_sentences", "textrank_summary", "summary", "phrase_topk", "mmr_selection", "lda_clusters", "shuffle_hash"])
 def test_query_without_sql_gives_rows(spark, name):
     assert catalogue.queries()[name](spark, SF).count() > 0
+
+
+def test_mmr_chooses_over_all_vectors_of_a_label(spark, tmp_path):
+    rows = [(i, [1.0, 0.01 * (i % 7), 0.0], 0) for i in range(150)] + [(200, [60.0, 0.0, 80.0], 0), (300, [1.0, 0.0, 0.0], 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = catalogue.queries()["mmr_selection"](spark, str(tmp_path)).collect()
+    assert [r.item for r in got if r.key == 0 and r.rank == 2] == [200] and sorted(r.rank for r in got if r.key == 0) == [1, 2, 3, 4, 5]
+    assert [(r.item, r.rank) for r in got if r.key == 1] == [(300, 1)]
