@@ -17,8 +17,13 @@ A frame holds a document's ids as little-endian unsigned 32-bit integers. The di
 is stored beside the blocks as a one-row table. A short document is read alone: its
 block's offsets give its frame, and the dictionary makes up for its short history.
 
-The dictionary is trained on the ids of a documented sample: of `sample_docs` documents,
-those with the smallest hash of their id. All documents are written.
+The dictionary is trained on whole id arrays of a bounded sample: of the `sample_docs`
+rows with the smallest hashes of id and text those whose texts fit `sample_bytes`
+together. All documents are written.
+
+Shards are ranges of doc_id, as many as the session's shuffle partitions, or more where
+the table has more than `shard_bytes` for each. Rows that share an id are ordered by their
+texts' hashes, and dealt over several shards by these where they are many.
 
 Null texts count as empty and hold the end id only. Documents without an id come first.
 Repeated rows are each stored. Other columns are ignored.
@@ -30,38 +35,70 @@ import hashlib
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain, filterfalse
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import no_gc, shared_dir
+from lexmill.llm.common import no_gc, shared_dir, slices
 
 BLOCK_BYTES = 1 << 20
 BLOCK_DOCS = 256
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
+ENCODE_BYTES = 8 << 20
+#: Documents that a shard has at least on the average, where the table is large enough for several.
+SHARD_DOCS = 1024
 BLOCKS = "shard int, block int, first long, last long, skip long, dictionary string, doc_ids array<long>, n_tokens array<long>, offsets array<long>, payload binary"
 
 
 #: ASCII marks; and letters that are one character in lower case too (İ is not).
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-SIMPLE = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+SIMPLE = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]"
+LETTERS = "".join(c for c in map(chr, range(0x250)) if re.fullmatch(SIMPLE, c))
+
+
+class Known:
+    """Words and their ids: places by word, and flat arrays of ids."""
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        """The empty word, of no ids, stays."""
+        self.places = {"": 0}
+        self.starts, self.counts = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.ids = np.zeros(0, "<u4")
+
+    def add(self, words: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        self.places.update(zip(words, range(len(self.places), len(self.places) + len(words)), strict=True))
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
+        self.counts, self.ids = np.concatenate([self.counts, counts]), np.concatenate([self.ids, ids])
+
+
+def runs(ids: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The runs of ids that begin at starts, one after the other."""
+    ends = np.cumsum(counts)
+    return ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)]
 
 
 class Encoder:
     """Ids of texts by a tokenizers file, with the ids of words kept.
 
     Tokenizers whose pre-tokenizer drops white space give a text the ids of its words
-    (split at ASCII white space) one after the other; the others get the whole text. Where
-    the pre-tokenizer moreover cuts words of SIMPLE letters and MARKS after them in two and
-    the model marks the end of each part (`WORD_PARTS`), the library's model gets the new
-    parts of many words in one call, and the end marks tell which ids are whose. Other words
-    go through the whole tokenizer.
+    (split at ASCII white space) one after the other; the others get the whole text. A
+    batch's words are split, made distinct and looked up as Arrow arrays; the library gets
+    those that are not known yet. Where the pre-tokenizer moreover cuts words of SIMPLE
+    letters and MARKS after them in two and the model marks the end of each part
+    (`WORD_PARTS`), the parts are what is known, and the library's model gets many new ones
+    in one call; the end marks tell which ids are whose. Other words go through the whole
+    tokenizer.
     """
 
     #: The pre-tokenizer's pattern whose cuts of SIMPLE words are known, and the mark.
@@ -79,14 +116,13 @@ class Encoder:
             spec = json.load(f)
         self.by_word = self._drops_space(spec)
         self.model = None
+        self.known = Known()
         first = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
         if self.by_word and first["pattern"]["Regex"] == self.WORD_PARTS and spec["model"].get("end_of_word_suffix") == self.END_MARK and not spec["model"].get("ignore_merges"):
             self.model = Tokenizer(self.tokenizer.model)
-            self.model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
             self.ends = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
             self.ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(self.END_MARK)]] = True
-        self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
 
     @staticmethod
     def _drops_space(spec: dict) -> bool:
@@ -97,49 +133,59 @@ class Encoder:
         keeps = any(t.get("lstrip") or t.get("rstrip") or set(t["content"]) & set(" \t\n\r\x0b\x0c") for t in spec.get("added_tokens") or [])
         return plain and not keeps and first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True and "[^\\s" in (first.get("pattern") or {}).get("Regex", "")
 
-    def _learn(self, new: list[str]) -> None:
-        """The ids of words that are not known yet."""
-        known, parts, odd = self.known, self.parts, new
-        if self.model is not None:
-            odd, cut = [], []
-            for w in new:
-                head = w.rstrip(MARKS)
-                if head.isascii() and head.isalpha() or SIMPLE.fullmatch(head):
-                    cut.append((w, head.lower(), w[len(head) :]))
-                else:
-                    odd.append(w)
-            fresh = {a for _, a, _ in cut}
-            fresh.update(b for _, _, b in cut)
-            fresh = [p for p in fresh if p not in parts]
-            if fresh:
-                ids = np.array(self.model.encode_batch_fast([fresh], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
-                stops = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
-                if len(stops) != len(fresh):
-                    raise ValueError("the model's end marks don't tell its words apart")
-                raw, at = ids.tobytes(), 0
-                for p, stop in zip(fresh, stops, strict=True):
-                    parts[p] = raw[at:stop]
-                    at = stop
-            for w, a, b in cut:
-                known[w] = parts[a] + parts[b]
-        if odd:
-            for w, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-
-    def __call__(self, texts: list[str], end_id: int | None) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers, end id included."""
-        end = b"" if end_id is None else end_id.to_bytes(4, "little")
-        if not self.by_word:
-            return [np.array(e.ids, "<u4").tobytes() + end for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        if len(self.known) > CACHE_WORDS:
+    def _learn_parts(self, parts: list[str]) -> None:
+        """The ids of new parts of SIMPLE words."""
+        texts = [" ".join(parts[a : a + 1000]) for a in range(0, len(parts), 1000)]
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in self.model.encode_batch_fast(texts, add_special_tokens=False)])
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(parts):
+            raise ValueError("the model's end marks don't tell its words apart")
+        self.known.add(parts, ids, np.diff(stops, prepend=0))
+
+    def _learn_words(self, words: list[str]) -> None:
+        found = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        self.known.add(words, np.concatenate(found), np.array([len(x) for x in found], np.int64))
+
+    def _places(self, words: pa.Array, learn: Callable[[list[str]], None]) -> np.ndarray:
+        """The words' places among the known ones; new ones are learned first."""
+        coded = words.dictionary_encode()
+        distinct, places = coded.dictionary.to_pylist(), self.known.places
+        if new := list(filterfalse(places.__contains__, distinct)):
+            learn(new)
+        return np.fromiter(map(places.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+
+    def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words one after the other, and the number of each."""
+        if len(self.known.places) > CACHE_WORDS:
             self.known.clear()
-        if len(self.parts) > CACHE_WORDS:
-            self.parts = {"": b""}
-        words = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        known = self.known
-        if new := list(set(filterfalse(known.__contains__, chain.from_iterable(words)))):
-            self._learn(new)
-        return [b"".join(map(known.__getitem__, ws)) + end for ws in words]
+        if self.model is None:
+            at = self._places(words, self._learn_words)
+            return runs(self.known.ids, self.known.starts[at], self.known.counts[at]), self.known.counts[at]
+        head = pc.utf8_rtrim(words, MARKS)
+        simple = pc.match_substring_regex(head, f"^(?:{SIMPLE})+$")
+        own = simple.to_numpy(zero_copy_only=False)
+        at = np.zeros((len(words), 2), np.int64)
+        at[own, 0] = self._places(pc.utf8_lower(head.filter(simple)), self._learn_parts)
+        at[own, 1] = self._places(pc.utf8_ltrim(words.filter(simple), LETTERS), self._learn_parts)
+        at[~own, 0] = self._places(words.filter(pc.invert(simple)), self._learn_words)
+        counts = self.known.counts[at]
+        return runs(self.known.ids, self.known.starts[at].ravel(), counts.ravel()), counts.sum(axis=1)
+
+    def __call__(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids one after the other as little-endian unsigned 32-bit integers, end ids included; and where each text's begin, with the end."""
+        if self.by_word:
+            split = pc.ascii_split_whitespace(texts)
+            coded = split.flatten().dictionary_encode()
+            found, counts = self._distinct(coded.dictionary)
+            own = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]), pa.array(found)).take(coded.indices)
+            ids = own.flatten().to_numpy()
+            offsets = np.asarray(own.offsets)[np.asarray(split.offsets) - split.offsets[0].as_py()]
+        else:
+            found = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            ids, offsets = np.concatenate([np.zeros(0, "<u4"), *found]), np.concatenate([[0], np.cumsum([len(x) for x in found], dtype=np.int64)])
+        if end_id is not None:
+            ids, offsets = np.insert(ids, offsets[1:], end_id), offsets + np.arange(len(offsets))
+        return ids, offsets
 
 
 @lru_cache(maxsize=2)
@@ -156,25 +202,57 @@ def train_dictionary(samples: list[bytes], size: int) -> bytes:
         return b""
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 2, text: str = "text", sample_docs: int = 1000, dictionary_bytes: int = 64 << 10, level: int = 3) -> None:
+def _samples(rows: DataFrame, encode: Encoder, end_id: int | None, sample_docs: int, sample_bytes: int) -> list[bytes]:
+    """Whole id arrays of a sample: of the sample_docs rows with the smallest hashes those whose texts fit the bytes together."""
+    sizes = rows.select("hash", F.octet_length("text").alias("n")).orderBy("hash", "n").limit(sample_docs).collect()
+    chosen, total = set(), 0
+    for r in sizes:
+        if r.hash not in chosen and total + r.n <= sample_bytes:
+            chosen.add(r.hash)
+            total += r.n
+    wanted = rows.sparkSession.createDataFrame([(h,) for h in sorted(chosen)], "hash long")
+    texts = rows.join(F.broadcast(wanted), "hash").groupBy("hash").agg(F.min("text").alias("text")).orderBy("hash").collect()
+    ids, offsets = encode(pa.array([r.text for r in texts], pa.string()), end_id)
+    return [ids[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
+def _shards(rows: DataFrame, shard_bytes: int) -> tuple[Column, int]:
+    """The shard of each row, and their number: ranges of (doc_id, hash) of about equal numbers of rows, from the ids alone.
+
+    An id that holds more than a shard's rows (no id is one of them) has several shards,
+    dealt by ranges of the hash.
+    """
+    spark = rows.sparkSession
+    known, total = rows.agg(F.count("doc_id"), F.count(F.lit(1))).first()
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # of the files, as Spark's planner knows it
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // shard_bytes) if size < 1 << 60 else 0)
+    n = max(1, min(n, total // SHARD_DOCS + 1))
+    part = lambda k: F.least(F.floor((F.col("hash") / 2.0**64 + 0.5) * k), F.lit(k - 1)).cast("int")
+    without = max(1, round(n * (total - known) / total)) if total > known else 0
+    marks = rows.stat.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n) if n > 1 and known else []
+    cuts = sorted({int(c) for c in marks})
+    hot = {c: k for c, k in Counter(map(int, marks)).items() if k > 1}
+    first, at = {}, without  # the shards of ids up to cut i, and those of a hot cut itself
+    for i, c in enumerate(cuts):
+        first[i] = at
+        at += 1 + hot.get(c, 0)
+    shard = F.expr(_bucket(cuts, [*(first[i] for i in range(len(cuts))), at]))
+    for c, k in hot.items():
+        shard = F.when(F.col("doc_id") == c, first[cuts.index(c)] + 1 + part(k)).otherwise(shard)
+    return F.when(F.col("doc_id").isNull(), part(max(1, without))).otherwise(shard).cast("int"), at + 1
+
+
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 2, text: str = "text", sample_docs: int = 1000, sample_bytes: int = 4 << 20, dictionary_bytes: int = 64 << 10, level: int = 3, shard_bytes: int = 128 << 20) -> None:
     """Writes the documents' ids under path: blocks, and the dictionary."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    # the sample's ids come from a pass over the ids alone; at most sample_docs texts meet the driver, cut into pieces of a dictionary's use
-    ids = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    chosen = rows.join(F.broadcast(ids), "doc_id").select(F.substring("text", 1, 4096).alias("text")).limit(2 * sample_docs)
-    samples = encoder(tokenizer)([r.text for r in chosen.collect()], end_id)
-    dictionary = train_dictionary([s for s in samples if len(s) > 8], dictionary_bytes)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("doc_id", "text"))
+    dictionary = train_dictionary([s for s in _samples(rows, encoder(tokenizer), end_id, sample_docs, sample_bytes) if len(s) > 8], dictionary_bytes)
     name = hashlib.sha256(dictionary).hexdigest()
     spark.createDataFrame([(name, bytearray(dictionary))], "dictionary string, data binary").write.parquet(f"{path}/dictionary")
     sent = spark.sparkContext.broadcast(dictionary)
-
-    # ranges of doc_id from the ids alone: the texts are then moved once, without a sampling pass over them
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = rows.stat.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
-    cuts = sorted({int(c) for c in cuts})
-    shard = F.coalesce(F.expr(_bucket(cuts)), F.lit(0)) if cuts else F.lit(0)
-    ranged = rows.withColumn("shard", shard.cast("int")).repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions("doc_id")
+    # the texts are moved once, without a sampling pass over them
+    shard, n = _shards(rows, shard_bytes)
+    ranged = rows.withColumn("shard", shard).repartitionById(n, F.col("shard")).sortWithinPartitions("shard", "doc_id", "hash").drop("hash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
@@ -192,19 +270,19 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
             return pa.RecordBatch.from_pylist([row], schema=_SCHEMA)
 
         for batch in batches:
-            for a in range(0, batch.num_rows, 128):
-                part = batch.slice(a, 128)
+            for part in slices(batch, "text", ENCODE_BYTES):
                 with no_gc():
-                    found = encode(part.column("text").to_pylist(), end_id)
-                for doc_id, s, tokens in zip(part.column("doc_id").to_pylist(), part.column("shard").to_pylist(), found, strict=True):
+                    found, places = encode(part.column("text"), end_id)
+                raw, places = memoryview(found).cast("B"), places.tolist()
+                for i, (doc_id, s) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("shard").to_pylist(), strict=True)):
                     if s != at and ids:
                         yield out()
                     if s != at:
                         block = skip = 0
                     at = s
-                    frame = pressed.compress(tokens)
+                    frame = pressed.compress(raw[4 * places[i] : 4 * places[i + 1]])
                     ids.append(doc_id)
-                    counts.append(len(tokens) // 4)
+                    counts.append(places[i + 1] - places[i])
                     frames.append(frame)
                     offsets.append(offsets[-1] + len(frame))
                     if len(ids) >= BLOCK_DOCS or offsets[-1] >= BLOCK_BYTES:
@@ -219,16 +297,16 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
 _SCHEMA = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("last", pa.int64()), ("skip", pa.int64()), ("dictionary", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("payload", pa.binary())])
 
 
-def _bucket(cuts: list[int]) -> str:
-    """The number of cuts that doc_id exceeds, as a balanced tree of comparisons."""
+def _bucket(cuts: list[int], names: list[int]) -> str:
+    """The name at the number of cuts that doc_id exceeds, as a balanced tree of comparisons."""
 
     def tree(lo: int, hi: int) -> str:
         if lo == hi:
-            return str(lo)
+            return str(names[lo])
         mid = (lo + hi) // 2
-        return f"if(doc_id <= {cuts[mid]}L, {tree(lo, mid)}, {tree(mid + 1, hi)})" if mid < len(cuts) else str(lo)
+        return f"if(doc_id <= {cuts[mid]}L, {tree(lo, mid)}, {tree(mid + 1, hi)})"
 
-    return f"if(doc_id is null, 0, {tree(0, len(cuts))})"
+    return tree(0, len(cuts))
 
 
 def dictionary_of(spark, path: str) -> tuple[str, bytes]:
