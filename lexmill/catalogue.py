@@ -279,7 +279,9 @@ def _(s, d):
 
 # -- summaries and phrases -------------------------------------------------------------------
 
-UNKNOWN_IDF, UNKNOWN_PROMINENCE = 8.0, 0.1
+#: Weights of unknown words: the upper median of the one table, half the mean of the other.
+UNKNOWN_IDF = "(select max(weight) filter (k = c // 2 + 1) from (select weight, row_number() over (order by weight) k, count(*) over () c from idf))"
+UNKNOWN_PROMINENCE = "(select avg(weight) / 2 from prom)"
 
 
 def _topic_tables(s, d, tf: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -309,18 +311,19 @@ _SUMMARY = f"""{S.DISTINCT}, idf as (select token, log2(n / df) weight from (sel
 
 
 def _sentence_weights(s, d) -> DataFrame:
-    sents = summary.kept_sentences(docs(s, d), "latin_coarse")
-    return summary.sentence_weights(sents, *_weights(s, d), UNKNOWN_IDF, UNKNOWN_PROMINENCE)
+    return summary.sentence_weights(summary.kept_sentences(docs(s, d), "latin_coarse"), *_weights(s, d))
 
 
 query("summary_sentence_weights", f"with {_SUMMARY} select doc_id, idx, {S.r6('weight')} weight from sf")(lambda s, d: _sentence_weights(s, d).select("doc_id", F.col("idx").cast("long").alias("idx"), r6("weight").alias("weight")))
-query(
-    "summary_greedy",
-    f"""with {_SUMMARY}, rk as (select *, row_number() over o rank, sum(length(sentence)) over (o rows unbounded preceding) upto, max(idx) over (partition by doc_id) last from sf window o as (partition by doc_id order by round(weight, 9) desc, idx desc)),
-    sp as (select *, max(case when idx = last then rank end) over (partition by doc_id) stop from rk)
-    select doc_id, coalesce(string_agg(sentence, '' order by idx) filter (upto <= 200 and rank <= stop), max(case when rank = 1 then substr(sentence, 1, 200) end)) summary, count(*) filter (upto <= 200 and rank <= stop) n_taken from sp group by 1""",
-)(lambda s, d: summary.greedy(_sentence_weights(s, d)))
-query("summary")(lambda s, d: summary.summarize(docs(s, d), *_weights(s, d), UNKNOWN_IDF, UNKNOWN_PROMINENCE, criterion="latin_coarse"))
+_GREEDY = f"""{_SUMMARY}, rk as (select *, row_number() over o rank, sum(length(sentence)) over (o rows unbounded preceding) upto, max(idx) over (partition by doc_id) last from sf window o as (partition by doc_id order by round(weight, 9) desc, idx desc)),
+    sp as (select *, max(case when idx = last then rank end) over (partition by doc_id) stop from rk),
+    gr as (select doc_id, coalesce(string_agg(sentence, '' order by idx) filter (upto <= 200 and rank <= stop), max(case when rank = 1 then substr(sentence, 1, 200) end)) summary, count(*) filter (upto <= 200 and rank <= stop) n_taken, count(*) n from sp group by 1)"""
+query("summary_greedy", f"with {_GREEDY} select doc_id, summary, n_taken from gr")(
+    lambda s, d: summary.chosen_sentences(summary.kept_sentences(docs(s, d), "latin_coarse"), *_weights(s, d)).where("n > 0").select("doc_id", "summary", "n_taken")
+)
+query("summary", f"with {_GREEDY} select doc_id, case when length(text) >= 200 and n > 1 then summary else substr(text, 1, 200) end summary from cleaned left join gr using (doc_id)")(
+    lambda s, d: summary.summarize(docs(s, d), *_weights(s, d), criterion="latin_coarse")
+)
 
 _CASES = lambda column, weights, other: f"case {column} " + " ".join(f"when {S.quote(k) if isinstance(k, str) else k} then {v}" for k, v in weights.items()) + f" else {other} end"
 _PHRASES = f"""{S.DISTINCT}, idf as (select token, log2(n / df) weight from (select token, count(*) df from tf group by 1), (select count(*) n from documents)),
@@ -337,7 +340,7 @@ _PHRASES = f"""{S.DISTINCT}, idf as (select token, log2(n / df) weight from (sel
 
 
 def _candidates(s, d, **rules) -> DataFrame:
-    weighted = phrases.token_weights(phrases.tagged_tokens(docs(s, d), "latin_fine"), *_weights(s, d), UNKNOWN_IDF, UNKNOWN_PROMINENCE)
+    weighted = phrases.weighted_tokens(phrases.weighted_sentences(docs(s, d), *_weights(s, d), criterion="latin_fine"))
     return phrases.candidates(weighted, **rules)
 
 
@@ -347,9 +350,21 @@ query("phrase_scores", f"with {_PHRASES} select doc_id, sent, pos, n, phrase, {S
 query("phrase_specified_words", f"with {_PHRASES} select doc_id, sent, pos, n, phrase, {S.r6('score')} score from scored where list_has_any(list_transform(p, lambda x: x.token), ['onou', 'ha', 'ch'])")(
     lambda s, d: _long(phrases.phrase_scores(_candidates(s, d, specified=["onou", "ha", "ch"])).drop("p").withColumn("score", r6("score")), "sent", "pos", "n")
 )
-query("phrase_loose_candidates")(lambda s, d: _candidates(s, d, strict=False, max_window=3).drop("p"))
-query("phrase_mmr")(lambda s, d: phrases.without_overlap(phrases.phrase_scores(_candidates(s, d)), None))
-query("phrase_topk")(lambda s, d: phrases.without_overlap(phrases.phrase_scores(_candidates(s, d)), 5))
+_FUNCTION = lambda x: S.among(x, lists.FUNCTION_TAGS)
+query(
+    "phrase_loose_candidates",
+    f"""with {_PHRASES}, lg as (select doc_id, sent, pos, n, a[1:n] p, array_to_string(list_transform(a[1:n], lambda x: x.token), ' ') phrase from (select doc_id, sent, pos, a, unnest(range(1, least(3, len(a)) + 1)) n from pa))
+    select doc_id, sent, pos, n, phrase from lg where length(phrase) between 1 and 25 and not {S.among('phrase', lists.ALL_STOP_WORDS)} and p[-1].token <> '时' and len(list_filter(p, lambda x: {_FUNCTION('x.tag')})) <= 1
+    and len(list_filter(p, lambda x: {S.among('x.token', lists.ALL_STOP_WORDS)})) = 0 and not {_FUNCTION('p[1].tag')} and not {_FUNCTION('p[-1].tag')} and p[-1].tag not in ('v', 'd')""",
+)(lambda s, d: _long(_candidates(s, d, strict=False, max_window=3).drop("p"), "sent", "pos", "n"))
+_PENALTY = f"""{_PHRASES}, ph as materialized (select doc_id, row_number() over (partition by doc_id order by n desc, sent, pos) k, phrase, score, list_distinct(list_transform(p, lambda x: x.token)) own from scored),
+    ow as materialized (select doc_id, k, unnest(own) token from ph), sh as (select y.doc_id, y.k, x.k other, count(*) c from ow x join ow y on x.doc_id = y.doc_id and x.token = y.token and x.k < y.k group by all),
+    pe as (select doc_id, k, max(c) c from sh group by all), fs as (select doc_id, k, phrase, score * (1 - coalesce(c, 0) / len(own)) score from ph left join pe using (doc_id, k)),
+    fr as (select doc_id, phrase, score, row_number() over (partition by doc_id order by round(score, 9) desc, k) rank from fs where score <> 0)"""
+for _name, _k in {"phrase_mmr": None, "phrase_topk": 5}.items():
+    query(_name, f"with {_PENALTY} select doc_id, phrase, {S.r6('score')} score, rank from fr" + (f" where rank <= {_k}" if _k else ""))(
+        lambda s, d, k=_k: phrases.key_phrases(docs(s, d), *_weights(s, d), top_k=k, criterion="latin_fine").withColumn("score", r6("score"))
+    )
 
 # -- information -----------------------------------------------------------------------------
 
@@ -519,7 +534,19 @@ def _(s, d):
     return matrix.multiply(a, _tf(s, d).select(F.col("doc_id").alias("row"), F.col("token").alias("col"), F.col("tf").cast("double").alias("v")))
 
 
-@query("mmr_selection")
+def _mmr_sql() -> str:
+    """Five rounds: in each the best item of a label by relevance less its largest cosine to those taken."""
+    out = """with m as (select label, list(v order by k) m from (select label, k, avg(cast(v as double)) v from (select label, unnest(range(64)) k, unnest(embedding) v from embeddings) group by all) group by 1),
+    i0 as materialized (select label, vec_id, cast(embedding as double[]) v, list_dot_product(cast(embedding as double[]), m) / sqrt(list_dot_product(cast(embedding as double[]), cast(embedding as double[])) * list_dot_product(m, m)) rel, cast(null as double) near from embeddings join m using (label)),
+    s1 as materialized (select label, vec_id, v, rel / 2 score from i0 qualify row_number() over (partition by label order by round(score, 9) desc, vec_id) = 1)"""
+    for k in range(2, 6):
+        out += f""",
+    i{k - 1} as materialized (select i.label, i.vec_id, i.v, i.rel, greatest(i.near, list_dot_product(i.v, t.v) / sqrt(list_dot_product(i.v, i.v) * list_dot_product(t.v, t.v))) near from i{k - 2} i join s{k - 1} t on i.label = t.label where i.vec_id <> t.vec_id),
+    s{k} as materialized (select label, vec_id, v, (rel - near) / 2 score from i{k - 1} qualify row_number() over (partition by label order by round(score, 9) desc, vec_id) = 1)"""
+    return out + " " + " union all ".join(f"select label key, vec_id item, {S.r6('score')} score, {k} rank from s{k}" for k in range(1, 6))
+
+
+@query("mmr_selection", _mmr_sql())
 def _(s, d):
     """Five vectors of each label: like the label's mean, unlike one another."""
     e = table(s, d, "embeddings")
@@ -527,7 +554,7 @@ def _(s, d):
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
     items = e.join(mean.select("label", F.transform("m", lambda x: x["v"]).alias("m")), "label").select("label", F.col("vec_id").alias("item"), F.col("embedding").cast("array<double>").alias("v"), "m")
     items = items.withColumn("rel", dot(F.col("v"), F.col("m")) / F.sqrt(dot(F.col("v"), F.col("v")) * dot(F.col("m"), F.col("m"))))
-    return retrieval.mmr(cut(items.select("label", "item", "rel", "v")), "label", "rel", "v")
+    return retrieval.mmr(cut(items.select("label", "item", "rel", "v")), "label", "rel", "v").withColumn("score", r6("score"))
 
 
 def _features(s, d) -> tuple[DataFrame, DataFrame]:
@@ -579,11 +606,13 @@ def _(s, d):
 
 # -- datasets --------------------------------------------------------------------------------
 
-query("shuffle_hash")(lambda s, d: dataset.shuffled(table(s, d, "documents"), "doc_id").select("doc_id", "lang"))
+query("shuffle_hash", "select doc_id, lang, row_number() over (order by md5('666:' || doc_id), doc_id) - 1 place from documents")(
+    lambda s, d: dataset.shuffled(table(s, d, "documents").select("doc_id", "lang"), "doc_id", name="place")
+)
 query("sample_prefix", "select doc_id, lang, source from documents order by doc_id limit 150")(lambda s, d: dataset.prefix(table(s, d, "documents").select("doc_id", "lang", "source"), ["doc_id"]))
-query("row_index", "select doc_id, row_number() over (order by doc_id) - 1 row_index from documents")(lambda s, d: dataset.row_index(table(s, d, "documents").select("doc_id"), ["doc_id"]))
-query("union_sources", "select 0 source_idx, row_number() over (order by text) - 1 inner_idx, text from (select text from documents) union all select 1, row_number() over (order by text) - 1, text from (select text from benchmark)")(
-    lambda s, d: dataset.Chained([docs(s, d).select("text"), table(s, d, "benchmark").select("text")], ["text"]).rows().select("source_idx", "inner_idx", "text")
+query("row_index", "select doc_id, text, row_number() over (order by doc_id) - 1 row_index from documents")(lambda s, d: dataset.row_index(table(s, d, "documents").select("doc_id", "text"), ["doc_id"]))
+query("union_sources", "select 0 source_idx, row_number() over (order by text, id) - 1 inner_idx, text, id from (select text, cast(doc_id as varchar) id from documents) union all select 1, row_number() over (order by text, id) - 1, text, id from (select text, cast(item_id as varchar) id from benchmark)")(
+    lambda s, d: dataset.Chained([docs(s, d).select("text", F.col("doc_id").cast("string").alias("id")), table(s, d, "benchmark").select("text", F.col("item_id").cast("string").alias("id"))], ["text", "id"]).rows().select("source_idx", "inner_idx", "text", "id")
 )
 query("dataset_map", "select doc_id, lang, length(text) n, strlen(text) n_bytes from documents")(
     lambda s, d: dataset.map_dataset(docs(s, d).select("doc_id", "lang", "text"), lambda t: {"n": len(t), "n_bytes": len(t.encode())}, "n long, n_bytes long", input_columns="text", remove_columns="text")

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexmill.plans.storage import cut
+
 INDEX, SHARD = "__index", "__shard"
 
 
@@ -24,17 +26,21 @@ def _columns(df: DataFrame, names: str | Sequence[str] | None, what: str) -> lis
 def row_index(df: DataFrame, order: Sequence[str], name: str = "row_index") -> DataFrame:
     """Rows numbered from 0 in the order of the columns, without one task that sees all rows.
 
-    Rows are dealt into ranges; each partition counts its own rows, and starts at the
-    number of rows in those before it (one number for each partition).
+    Rows are dealt into ranges and written once with their place in their range: the
+    ranges' sizes (one number for each) and the rows are read from that table, so both see
+    the same ranges. Rows that tie in the order columns follow the hash of their columns
+    (maps left out), which also splits a value that many rows share; equal rows get any
+    order.
     """
     by = [F.col(f"`{c}`").asc_nulls_first() for c in order]
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number is not coalesced: both readers below see the same parts
-    ranged = df.repartitionByRange(n, *by).sortWithinPartitions(*by)
-    dealt = ranged.withColumn("__part", F.spark_partition_id()).withColumn("__mono", F.monotonically_increasing_id())
-    dealt = dealt.withColumn("__at", F.col("__mono").bitwiseAND(F.lit((1 << 33) - 1)))
+    hashed = [F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.withColumn("__tie", F.xxhash64(*hashed) if hashed else F.lit(0)).repartitionByRange(n, *by, "__tie").sortWithinPartitions(*by, "__tie")
+    mono = F.monotonically_increasing_id()  # the partition, and the row's place in it in the lower 33 bits
+    dealt = cut(ranged.withColumn("__mono", mono).select(*[F.col(f"`{c}`") for c in df.columns], F.shiftright("__mono", 33).alias("__part"), F.col("__mono").bitwiseAND(F.lit((1 << 33) - 1)).alias("__at")))
     sizes = dealt.groupBy("__part").agg(F.count("*").alias("n"))
     starts = sizes.select("__part", (F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("__start"))
-    return dealt.join(F.broadcast(starts), "__part").withColumn(name, F.col("__at") + F.col("__start")).drop("__part", "__mono", "__at", "__start")
+    return dealt.join(F.broadcast(starts), "__part").withColumn(name, F.col("__at") + F.col("__start")).drop("__part", "__at", "__start")
 
 
 def map_dataset(
@@ -97,9 +103,12 @@ def map_dataset(
     return out.persist(StorageLevel.MEMORY_AND_DISK) if keep else out
 
 
-def shuffled(df: DataFrame, key: str, seed: int = 666) -> DataFrame:
-    """The rows in an order that depends on the key and the seed alone."""
-    return df.orderBy(F.xxhash64(F.col(f"`{key}`"), F.lit(seed)), F.col(f"`{key}`"))
+def shuffled(df: DataFrame, key: str, seed: int = 666, name: str | None = None) -> DataFrame:
+    """The rows in an order that depends on the key and the seed alone; name adds each row's place in it."""
+    hashed = df.withColumn("__hash", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(f"`{key}`").cast("string"))))
+    if name is None:
+        return hashed.orderBy("__hash", F.col(f"`{key}`")).drop("__hash")
+    return row_index(hashed, ["__hash", key], name).drop("__hash")
 
 
 def prefix(df: DataFrame, order: Sequence[str], n: int = 150) -> DataFrame:

@@ -1,60 +1,82 @@
 """Key phrases: candidate n-grams of tagged tokens, scores by weight tables, and a penalty for overlap with longer ones.
 
-Tables hold one row for each token, so that weights come by joins; the candidates of a
-token are the up to max_window tokens from it on, taken by a window frame inside the
-sentence. The penalty needs a document's candidates together: one group is one document.
+A document stays one row. Its distinct words are looked up once in the weight tables; then
+one pass over its sentences makes, scores and compares the n-grams (`key_phrases`), so
+that no n-gram is shuffled. `candidates` and `phrase_scores` give the n-grams themselves as
+a table, from slices of the row's own arrays.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterator, Sequence
+from itertools import chain, combinations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexmill.functions import lists
 from lexmill.functions.split import sentences
 from lexmill.functions.tokens import normal_tag, tag, tokenize
+from lexmill.operators.graph import map_rows
+from lexmill.operators.weights import with_words
 
 
-def tagged_tokens(docs: DataFrame, criterion: str = "fine", text: str = "text", tagger=tag) -> DataFrame:
-    """(doc_id, sent, pos, token, tag)"""
-    sents = docs.select("doc_id", F.posexplode(sentences(F.col(text), criterion)).alias("sent", "s"))
-    tokens = sents.select("doc_id", "sent", F.posexplode(tokenize(F.col("s"))).alias("pos", "token"))
-    return tokens.withColumn("tag", normal_tag(tagger(F.col("token"))))
+def tagged_sentences(docs: DataFrame, criterion: str = "fine", text: str = "text") -> DataFrame:
+    """(doc_id, sents): the tokens of each sentence."""
+    return docs.select("doc_id", F.transform(sentences(F.coalesce(F.col(text), F.lit("")), criterion), lambda s: tokenize(s)).alias("sents"))
 
 
-def token_weights(tokens: DataFrame, idf: DataFrame, prominence: DataFrame, unknown_idf: float, unknown_prominence: float, known_tags: Sequence[str] | None = None, specified: Sequence[str] = (), bonus: float = 1.0) -> DataFrame:
-    """The tokens with w (relative tf * idf, 0 for stop words and unknown tags, plus a bonus for specified words) and topic."""
-    tf = tokens.groupBy("doc_id", "token").agg(F.count("*").alias("tf"))
-    totals = tf.groupBy("doc_id").agg(F.sum("tf").alias("total"))
-    scored = tf.join(totals, "doc_id").join(idf.withColumnRenamed("weight", "idf"), "token", "left").join(prominence.withColumnRenamed("weight", "prominence"), "token", "left")
-    scored = scored.select("doc_id", "token", (F.col("tf") / F.col("total") * F.coalesce("idf", F.lit(unknown_idf))).alias("w"), F.coalesce("prominence", F.lit(unknown_prominence)).alias("topic"))
-    stop = F.col("token").isin(*lists.ALL_STOP_WORDS)
-    unknown = F.lit(False) if known_tags is None else ~F.col("tag").isin(*known_tags)
-    w = F.when(stop | unknown, 0.0).otherwise(F.col("w")) + (F.when(F.col("token").isin(*specified), bonus).otherwise(0.0) if specified else 0.0)
-    return tokens.join(scored, ["doc_id", "token"]).select("doc_id", "sent", "pos", "token", "tag", w.alias("w"), "topic")
+def weighted_sentences(docs: DataFrame, idf: DataFrame, prominence: DataFrame, unknown_idf: float | None = None, unknown_prominence: float | None = None, known_tags: Sequence[str] | None = None, specified: Sequence[str] = (), bonus: float = 1.0, criterion: str = "fine", tagger=tag, text: str = "text") -> DataFrame:
+    """(doc_id, sents, words): words has (token, idf, topic, tag, mute, bonus) of each distinct token.
+
+    A token weighs its share of the document's tokens times idf (nothing if mute: a stop
+    word or a tag that is not known), plus the bonus of a specified word. Unknown words
+    weigh the upper median of the idf table and half the mean of the other one.
+    """
+    own = normal_tag(tagger(F.col("token")))
+    mute = F.col("token").isin(*lists.ALL_STOP_WORDS)
+    if known_tags is not None:
+        mute |= ~own.isin(*known_tags)
+    more = F.when(F.col("token").isin(*specified), float(bonus)).otherwise(0.0) if specified else F.lit(0.0)
+    return with_words(tagged_sentences(docs, criterion, text), F.flatten("sents"), idf, prominence, unknown_idf, unknown_prominence, tag=own, mute=mute, bonus=more)
+
+
+def weighted_tokens(found: DataFrame) -> DataFrame:
+    """(doc_id, sent, a): each sentence's tokens as (token, tag, w, topic), of (doc_id, sents, words)."""
+
+    def make():
+        def f(v: dict):
+            tokens = weigh(v["sents"], v["words"])
+            return ([[tokens[t] for t in s] for s in v["sents"] or []],)
+
+        return f
+
+    token = T.StructType([T.StructField("token", T.StringType()), T.StructField("tag", T.StringType()), T.StructField("w", T.DoubleType()), T.StructField("topic", T.DoubleType())])
+    rows = map_rows(found.withColumn("__in", F.struct("sents", "words")), "__in", [T.StructField("a", T.ArrayType(T.ArrayType(token)))], make, ["doc_id"])
+    return rows.select("doc_id", F.posexplode("a").alias("sent", "a"))
 
 
-def _tags_of(p: Column) -> Column:
-    return F.transform(p, lambda x: x["tag"])
+def weigh(sents: list[list[str]] | None, words: list[dict] | None) -> dict[str, dict]:
+    """Token, tag, w and topic of each of a document's tokens."""
+    tf = Counter(chain.from_iterable(sents or []))
+    total = max(1, tf.total())
+    return {x["token"]: {"token": x["token"], "tag": x["tag"], "w": (0.0 if x["mute"] else tf[x["token"]] / total * x["idf"]) + x["bonus"], "topic": x["topic"]} for x in words or []}
 
 
 def candidates(weighted: DataFrame, max_window: int = 12, strict: bool = True, allow_place: bool = True, allow_person: bool = True, max_chars: int = 25, last_not: Sequence[str] = ("时",), remove_words: Sequence[str] = (), specified: Sequence[str] = (), remove_phrases: Sequence[str] = (), separator: str = " ") -> DataFrame:
     """(doc_id, sent, pos, n, phrase, p): the n-grams of 1 to max_window tokens that the rules allow; p are their tokens.
 
-    separator joins the tokens of a phrase: a space where the script has spaces.
+    weighted is (doc_id, sent, a); n-grams are slices of a. separator joins the tokens of a
+    phrase: a space where the script has spaces.
     """
     tags = [t for t in lists.STRICT_TAGS if (allow_place or t != "ns") and (allow_person or t != "nr")]
-    token = F.struct("token", "tag", "w", "topic")
-    ahead = Window.partitionBy("doc_id", "sent").orderBy("pos").rowsBetween(0, max_window - 1)
-    seen = weighted.withColumn("a", F.collect_list(token).over(ahead))
+    seen = weighted.select("doc_id", "sent", F.posexplode(F.transform("a", lambda x, i: F.slice("a", i + 1, max_window))).alias("pos", "a"))
     if strict:
-        # only the allowed tokens from here on matter: the frame is cut at the first other one
-        seen = seen.where(F.col("tag").isin(*tags))
+        # only the allowed tokens from here on matter: the slice is cut at the first other one
         bad = F.array_position(F.transform("a", lambda x: F.when(x["tag"].isin(*tags), 0).otherwise(1)), 1)
-        seen = seen.withColumn("a", F.when(bad > 0, F.slice("a", F.lit(1), (bad - 1).cast("int"))).otherwise(F.col("a")))
+        seen = seen.withColumn("a", F.when(bad > 0, F.slice("a", F.lit(1), (bad - 1).cast("int"))).otherwise(F.col("a"))).where(F.size("a") > 0)
     grams = seen.select("doc_id", "sent", "pos", F.explode(F.transform(F.sequence(F.lit(1), F.size("a")), lambda n: F.slice("a", F.lit(1), n))).alias("p"))
     grams = grams.withColumn("n", F.size("p")).withColumn("phrase", F.array_join(F.transform("p", lambda x: x["token"]), separator))
     first, last, stop = F.element_at("p", 1)["tag"], F.element_at("p", -1)["tag"], list(lists.ALL_STOP_WORDS)
@@ -88,39 +110,102 @@ def phrase_scores(found: DataFrame, theta: float = 0.5) -> DataFrame:
     return found.withColumn("score", score)
 
 
-def without_overlap(scored: DataFrame, top_k: int | None = 5) -> DataFrame:
-    """(doc_id, phrase, score, rank): the score times 1 less the largest share of a phrase's tokens that a longer one, or an earlier one of its length, has.
-
-    A phrase within a kept one adds nothing for the later ones, so only the kept ones'
-    tokens are looked up: a document's work grows with its kept phrases.
+class Rules:
+    """What `candidates` allows, for one document's sentences in a pass: an n-gram ends where no longer one can be allowed."""
+
+    def __init__(self, max_window: int = 12, strict: bool = True, allow_place: bool = True, allow_person: bool = True, max_chars: int = 25, last_not: Sequence[str] = ("时",), remove_words: Sequence[str] = (), specified: Sequence[str] = (), remove_phrases: Sequence[str] = (), separator: str = " "):
+        self.max_window, self.strict, self.max_chars, self.separator = max_window, strict, max_chars, separator
+        self.tags = {t for t in lists.STRICT_TAGS if (allow_place or t != "ns") and (allow_person or t != "nr")}
+        self.barred = {t for t, allowed in (("ns", allow_place), ("nr", allow_person)) if not allowed}
+        self.stop, self.last_not, self.remove_words = frozenset(lists.ALL_STOP_WORDS), frozenset(last_not), frozenset(remove_words)
+        self.specified, self.remove_phrases = frozenset(specified), frozenset(remove_phrases)
+        self.function = frozenset(lists.FUNCTION_TAGS)
+
+    def ends(self, x: dict) -> bool:
+        """No n-gram may hold the token."""
+        if x["token"] in self.remove_words:
+            return True
+        return x["tag"] not in self.tags if self.strict else x["token"] in self.stop or x["tag"] in self.barred
+
+    def edges(self, first: str, last: str) -> bool:
+        if self.strict:
+            return first not in ("v", "vd", "vx") and last not in ("a", "ad", "vd", "vx", "v")
+        return first not in self.function and last not in self.function and last not in ("v", "d")
+
+    def found(self, sents: list[list[dict]]) -> Iterator[tuple[list[dict], str]]:
+        """The allowed n-grams and their phrases, in the order of their places."""
+        for s in sents:
+            for i in range(len(s)):
+                chars = functions = 0
+                for n in range(1, min(self.max_window, len(s) - i) + 1):
+                    x = s[i + n - 1]
+                    chars += len(x["token"]) + (len(self.separator) if n > 1 else 0)
+                    functions += not self.strict and x["tag"] in self.function
+                    if self.ends(x) or chars > self.max_chars or functions > 1:
+                        break
+                    if x["token"] in self.last_not or not self.edges(s[i]["tag"], x["tag"]):
+                        continue
+                    p = s[i : i + n]
+                    phrase = self.separator.join(t["token"] for t in p)
+                    if phrase and phrase not in self.stop and phrase not in self.remove_phrases and (not self.specified or any(t["token"] in self.specified for t in p)):
+                        yield p, phrase
+
+
+def scored(p: list[dict], theta: float) -> float:
+    """The score of `phrase_scores`."""
+    n = len(p)
+    tags = p[0]["tag"] if n == 1 else f"{p[0]['tag']}|{p[-1]['tag']}"
+    return sum(x["w"] for x in p) * lists.LENGTH_WEIGHTS.get(n, lists.OTHER_LENGTH) * lists.TAG_WEIGHTS.get(tags, 1.0) + sum(x["topic"] for x in p) / n * theta
+
+
+#: Phrases of so many different tokens at most are compared by their subsets.
+FEW = 5
+
+
+def without_overlap(found: Sequence[tuple[Sequence[str], str, float]], top_k: int | None = 5) -> list[tuple[str, float]]:
+    """(phrase, score), the best first, of (tokens, phrase, score) in order: the score times 1 less the largest share of a phrase's tokens that a longer one, or an earlier one of its length, has.
+
+    A phrase within a kept one adds nothing for the later ones, so only kept ones count. A
+    short phrase looks up its subsets, the largest first, among those of the kept ones: its
+    work does not grow with the number of phrases that share a word.
     """
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["n", "sent", "pos"], ascending=[False, True, True], kind="stable")
-        holders: dict[str, list[int]] = {}
-        kept, out = 0, []
-        for k, (tokens, phrase, score) in enumerate(zip(part["tokens"], part["phrase"], part["score"], strict=True)):
-            own = set(tokens)
-            shared: dict[int, int] = {}
+    subsets: set[tuple[str, ...]] = set()
+    holders: dict[str, list[int]] = {}
+    kept, out = 0, []
+    for k, (tokens, phrase, score) in enumerate(sorted(found, key=lambda x: -len(x[0]))):
+        own = sorted(set(tokens))
+        if len(own) <= FEW:
+            most = next((m for m in range(len(own), 0, -1) if any(c in subsets for c in combinations(own, m))), 0)
+        else:
+            most = max(Counter(chain.from_iterable(holders.get(t, ()) for t in own)).values(), default=0)
+        if most < len(own):
+            out.append((phrase, score * (1 - most / len(own)), k))
+            for m in range(1, min(FEW, len(own)) + 1):
+                subsets.update(combinations(own, m))
             for t in own:
-                for h in holders.get(t, ()):
-                    shared[h] = shared.get(h, 0) + 1
-            most = max(shared.values(), default=0)
-            if most < len(own):
-                out.append((phrase, score * (1 - most / len(own)), k))
-                for t in own:
-                    holders.setdefault(t, []).append(kept)
-                kept += 1
-        out = sorted((x for x in out if x[1] != 0), key=lambda x: (-round(x[1], 9), x[2]))[:top_k]
-        return pd.DataFrame({"doc_id": [part["doc_id"].iloc[0]] * len(out), "phrase": [x[0] for x in out], "score": [x[1] for x in out], "rank": range(1, len(out) + 1)})
+                holders.setdefault(t, []).append(kept)
+            kept += 1
+    out = sorted((x for x in out if x[1] != 0), key=lambda x: (-round(x[1], 9), x[2]))[:top_k]
+    return [(phrase, score) for phrase, score, _ in out]
 
+
+def key_phrases(docs: DataFrame, idf: DataFrame, prominence: DataFrame, unknown_idf: float | None = None, unknown_prominence: float | None = None, top_k: int | None = 5, theta: float = 0.5, criterion: str = "fine", specified: Sequence[str] = (), known_tags: Sequence[str] | None = None, tagger=tag, text: str = "text", **rules) -> DataFrame:
+    """(doc_id, phrase, score, rank)"""
     if top_k is not None and top_k < 0:
         raise ValueError("top_k must not be negative; None gives all")
-    given = scored.select("doc_id", "sent", "pos", "n", "phrase", F.transform("p", lambda x: x["token"]).alias("tokens"), "score")
-    return given.groupBy("doc_id").applyInPandas(run, "doc_id long, phrase string, score double, rank long")
+    found = weighted_sentences(docs, idf, prominence, unknown_idf, unknown_prominence, known_tags, specified, criterion=criterion, tagger=tagger, text=text)
 
+    def make():
+        allowed = Rules(specified=specified, **rules)
 
-def key_phrases(docs: DataFrame, idf: DataFrame, prominence: DataFrame, unknown_idf: float, unknown_prominence: float, top_k: int | None = 5, theta: float = 0.5, criterion: str = "fine", specified: Sequence[str] = (), tagger=tag, text: str = "text", **rules) -> DataFrame:
-    """(doc_id, phrase, score, rank)"""
-    weighted = token_weights(tagged_tokens(docs, criterion, text, tagger), idf, prominence, unknown_idf, unknown_prominence, specified=specified)
-    return without_overlap(phrase_scores(candidates(weighted, specified=specified, **rules), theta), top_k)
+        def f(v: dict):
+            tokens = weigh(v["sents"], v["words"])
+            grams = allowed.found([[tokens[t] for t in s] for s in v["sents"] or []])
+            best = without_overlap([([t["token"] for t in p], phrase, scored(p, theta)) for p, phrase in grams], top_k)
+            return ([{"phrase": p, "score": s} for p, s in best],)
+
+        return f
+
+    fields = [T.StructField("best", T.ArrayType(T.StructType([T.StructField("phrase", T.StringType()), T.StructField("score", T.DoubleType())])))]
+    rows = map_rows(found.withColumn("__in", F.struct("sents", "words")), "__in", fields, make, ["doc_id"])
+    return rows.select("doc_id", F.posexplode("best").alias("at", "x")).select("doc_id", "x.phrase", "x.score", (F.col("at") + 1).cast("long").alias("rank"))

@@ -2,43 +2,85 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable
+from itertools import chain
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexmill.functions.clean import clean
 from lexmill.functions.split import sentences
 from lexmill.functions.tokens import SCRIPTS, tokenize
+from lexmill.operators.graph import map_rows
+from lexmill.operators.weights import with_words
 
 
 def kept_sentences(docs: DataFrame, criterion: str = "coarse", script: str = "letters", text: str = "text", cleaned: bool = True) -> DataFrame:
-    """(doc_id, document, n, idx, sentence): the cleaned document's sentences that have the script, numbered anew."""
+    """(doc_id, document, sents): the cleaned document, and those of its sentences that have the script as (sentence, tokens)."""
     source = clean(F.col(text)) if cleaned else F.col(text)
     df = docs.select("doc_id", source.alias("document"))
-    df = df.withColumn("s", F.filter(sentences(F.col("document"), criterion), lambda s: s.rlike(SCRIPTS[script])))
-    return df.select("doc_id", "document", F.size("s").alias("n"), F.posexplode("s").alias("idx", "sentence"))
+    kept = F.filter(sentences(F.col("document"), criterion), lambda s: s.rlike(SCRIPTS[script]))
+    return df.select("doc_id", "document", F.transform(kept, lambda s: F.struct(s.alias("sentence"), tokenize(s).alias("tokens"))).alias("sents"))
+
+
+def weighed(sents: list[dict] | None, words: list[dict] | None, theta: float, lead: float) -> list[tuple[str, float]]:
+    """One document's sentences and their weights."""
+    sents = sents or []
+    tf = Counter(chain.from_iterable(s["tokens"] for s in sents))
+    total = max(1, tf.total())
+    topic = {w["token"]: w["topic"] for w in words or []}
+    tfidf = {w["token"]: tf[w["token"]] * w["idf"] / total for w in words or []}
+    out = []
+    for i, s in enumerate(sents):
+        n = len(s["tokens"])
+        w = sum(map(topic.__getitem__, s["tokens"])) / n * theta + sum(map(tfidf.__getitem__, s["tokens"])) / n if n else 0.0
+        out.append((s["sentence"], w * (1.0 if 15 <= len(s["sentence"]) <= 70 else 0.7) * (lead if i < 3 else 1.0)))
+    return out
+
+
+def taken(found: list[tuple[str, float]], budget: int, digits: int = 9) -> tuple[str, int]:
+    """The summary of one document's (sentence, weight), and its number of sentences: see `greedy`."""
+    order, chosen, used = sorted(range(len(found)), key=lambda i: (-round(found[i][1], digits), -i)), [], 0
+    for i in order:
+        used += len(found[i][0])
+        if used > budget:
+            break
+        chosen.append(i)
+        if i == len(found) - 1:
+            break
+    return "".join(found[i][0] for i in sorted(chosen)) if chosen else found[order[0]][0][:budget] if order else "", len(chosen)
+
+
+def _mapped(sents: DataFrame, idf: DataFrame, prominence: DataFrame, unknown_idf: float | None, unknown_prominence: float | None, theta: float, lead: float, fields: list[T.StructField], result: Callable) -> DataFrame:
+    """(doc_id, document, n, the fields): result's values of each document's (sentence, weight)."""
+    if not (0 <= theta <= 1 and lead >= 1):
+        raise ValueError("theta must be in 0..1 and lead at least 1")
+    found = with_words(sents, F.flatten(F.transform("sents", lambda x: x["tokens"])), idf, prominence, unknown_idf, unknown_prominence)
+    rows = found.select("doc_id", "document", F.size("sents").alias("n"), F.struct("sents", "words").alias("__in"))
+    return map_rows(rows, "__in", fields, lambda: lambda v: result(weighed(v["sents"], v["words"], theta, lead)), ["doc_id", "document", "n"])
 
 
-def sentence_weights(sents: DataFrame, idf: DataFrame, prominence: DataFrame, unknown_idf: float, unknown_prominence: float, theta: float = 0.2, lead: float = 1.2) -> DataFrame:
-    """(doc_id, idx, sentence, weight) of (doc_id, idx, sentence); idf and prominence are (token, weight).
+def sentence_weights(sents: DataFrame, idf: DataFrame, prominence: DataFrame, unknown_idf: float | None = None, unknown_prominence: float | None = None, theta: float = 0.2, lead: float = 1.2) -> DataFrame:
+    """(doc_id, idx, sentence, weight) of `kept_sentences`; idf and prominence are (token, weight).
 
     weight = mean prominence * theta + mean tf * idf / tokens of the document; * 0.7 unless
     15 to 70 characters; * lead for the first three sentences. A sentence without tokens
-    weighs 0.
+    weighs 0. Unknown words weigh the upper median of the idf table and half the mean of the
+    prominence table, unless given. A document stays one row, whose distinct words are looked
+    up once.
     """
-    if not (0 <= theta <= 1 and lead >= 1):
-        raise ValueError("theta must be in 0..1 and lead at least 1")
-    tokens = sents.select("doc_id", "idx", F.explode(tokenize(F.col("sentence"))).alias("token")).groupBy("doc_id", "idx", "token").agg(F.count("*").alias("c"))
-    by_doc = tokens.groupBy("doc_id", "token").agg(F.sum("c").alias("tf"))
-    totals = by_doc.groupBy("doc_id").agg(F.sum("tf").alias("total"))
-    scored = by_doc.join(idf.withColumnRenamed("weight", "idf"), "token", "left").join(prominence.withColumnRenamed("weight", "prominence"), "token", "left").join(totals, "doc_id")
-    scored = scored.select(
-        "doc_id", "token", (F.col("tf") * F.coalesce("idf", F.lit(unknown_idf)) / F.col("total")).alias("tfidf"), F.coalesce("prominence", F.lit(unknown_prominence)).alias("topic")
-    )
-    sums = tokens.join(scored, ["doc_id", "token"]).groupBy("doc_id", "idx").agg((F.sum(F.col("c") * F.col("topic")) / F.sum("c")).alias("topic"), (F.sum(F.col("c") * F.col("tfidf")) / F.sum("c")).alias("tfidf"))
-    out = sents.select("doc_id", "idx", "sentence").join(sums, ["doc_id", "idx"], "left")
-    w = F.coalesce(F.col("topic") * theta + F.col("tfidf"), F.lit(0.0))
-    w = w * F.when(F.length("sentence").between(15, 70), 1.0).otherwise(0.7) * F.when(F.col("idx") < 3, lead).otherwise(1.0)
-    return out.select("doc_id", "idx", "sentence", w.alias("weight"))
+    one = T.StructType([T.StructField("sentence", T.StringType()), T.StructField("weight", T.DoubleType())])
+    pairs = lambda found: ([{"sentence": s, "weight": w} for s, w in found],)
+    rows = _mapped(sents, idf, prominence, unknown_idf, unknown_prominence, theta, lead, [T.StructField("weights", T.ArrayType(one))], pairs)
+    return rows.select("doc_id", F.posexplode("weights").alias("idx", "x")).select("doc_id", "idx", "x.sentence", "x.weight")
+
+
+def chosen_sentences(sents: DataFrame, idf: DataFrame, prominence: DataFrame, unknown_idf: float | None = None, unknown_prominence: float | None = None, budget: int = 200, theta: float = 0.2, lead: float = 1.2) -> DataFrame:
+    """(doc_id, document, n, summary, n_taken) of `kept_sentences`: the choice of `greedy` by the weights of `sentence_weights`, without a table of sentences."""
+    fields = [T.StructField("summary", T.StringType()), T.StructField("n_taken", T.LongType())]
+    return _mapped(sents, idf, prominence, unknown_idf, unknown_prominence, theta, lead, fields, lambda found: taken(found, budget))
 
 
 def greedy(weights: DataFrame, budget: int = 200, digits: int = 9) -> DataFrame:
@@ -61,10 +103,8 @@ def greedy(weights: DataFrame, budget: int = 200, digits: int = 9) -> DataFrame:
     return grouped.select("doc_id", F.when(F.size("s") > 0, joined).otherwise(F.col("first")).alias("summary"), F.size("s").cast("long").alias("n_taken"))
 
 
-def summarize(docs: DataFrame, idf: DataFrame, prominence: DataFrame, unknown_idf: float, unknown_prominence: float, budget: int = 200, theta: float = 0.2, lead: float = 1.2, criterion: str = "coarse", script: str = "letters", text: str = "text") -> DataFrame:
+def summarize(docs: DataFrame, idf: DataFrame, prominence: DataFrame, unknown_idf: float | None = None, unknown_prominence: float | None = None, budget: int = 200, theta: float = 0.2, lead: float = 1.2, criterion: str = "coarse", script: str = "letters", text: str = "text") -> DataFrame:
     """(doc_id, summary): a document shorter than the budget is its own summary; one with at most one sentence gives its prefix."""
-    sents = kept_sentences(docs, criterion, script, text)
-    long = sents.where((F.length("document") >= budget) & (F.col("n") > 1))
-    found = greedy(sentence_weights(long, idf, prominence, unknown_idf, unknown_prominence, theta, lead), budget)
-    base = docs.select("doc_id", clean(F.col(text)).alias("document"))
-    return base.join(found.withColumnRenamed("summary", "__s"), "doc_id", "left").select("doc_id", F.when(F.col("document").isNull(), None).otherwise(F.coalesce("__s", F.substring("document", 1, budget))).alias("summary"))
+    found = chosen_sentences(kept_sentences(docs, criterion, script, text), idf, prominence, unknown_idf, unknown_prominence, budget, theta, lead)
+    whole = (F.length("document") < budget) | (F.col("n") <= 1)
+    return found.select("doc_id", F.when(F.col("document").isNull(), None).when(whole, F.substring("document", 1, budget)).otherwise(F.col("summary")).alias("summary"))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.split import sentences
 from lexmill.functions.tokens import tokenize
+from lexmill.operators.dataset import row_index
+from lexmill.plans.storage import cut
 
 
 def explode_tokens(df: DataFrame, tokens: Column, *keys: str) -> DataFrame:
@@ -47,8 +49,9 @@ def vocabulary(df: DataFrame, n_docs: int, no_below: int = 5, no_above: float =
     kept = df.where((F.col("df") >= no_below) & (F.col("df") <= no_above * n_docs)).select("token", "df")
     if keep_n is not None:
         kept = kept.orderBy(F.desc("df"), "token").limit(keep_n)
-    # at most keep_n rows: the numbering is small by the operator's definition
-    return kept.select((F.row_number().over(Window.orderBy("token")) - 1).cast("long").alias("token_id"), "token", "df")
+        # at most keep_n rows: the numbering is small by the operator's definition
+        return kept.select((F.row_number().over(Window.orderBy("token")) - 1).cast("long").alias("token_id"), "token", "df")
+    return row_index(kept, ["token"], "token_id").select("token_id", "token", "df")
 
 
 def bag_of_words(tf: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -84,7 +87,7 @@ def upper_median(df: DataFrame, value: str = "weight") -> DataFrame:
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = counts.repartitionByRange(n, "v").withColumn("part", F.spark_partition_id())
+    dealt = cut(counts.repartitionByRange(n, "v").withColumn("part", F.spark_partition_id()))  # written once: the totals and the rows must see the same ranges
     starts = dealt.groupBy("part").agg(F.sum("c").alias("n"))
     starts = starts.select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("start"), F.sum("n").over(Window.partitionBy()).alias("total"))
     running = dealt.join(F.broadcast(starts), "part").withColumn("upto", F.col("start") + F.sum("c").over(Window.partitionBy("part").orderBy("v")))

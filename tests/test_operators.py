@@ -87,7 +87,25 @@ def test_greedy_is_the_loop(spark):
     rows = [(d, i, rnd.choice("ab") * rnd.randrange(1, 30), rnd.randrange(6) / 4) for d in range(150) for i in range(rnd.randrange(1, 9))]
     got = {r.doc_id: r.summary for r in summary.greedy(spark.createDataFrame(rows, "doc_id long, idx int, sentence string, weight double"), 40).collect()}
     for d in range(150):
-        assert got[d] == greedy_loop([r[1:] for r in rows if r[0] == d], 40)
+        own = [r[1:] for r in rows if r[0] == d]
+        assert got[d] == greedy_loop(own, 40) == summary.taken([r[1:] for r in own], 40)[0]
+    assert summary.taken([], 40) == ("", 0)
+
+
+def test_row_numbers_of_many_wide_rows(spark):
+    """A million rows with a column beside the order: the numbers are dense, unique and in order."""
+    df = spark.range(1_000_000, numPartitions=4).select(F.expr("pmod(xxhash64(id), 700001)").alias("k"), F.concat_ws(" ", F.lit("text of"), "id").alias("text"))
+    got = dataset.row_index(df, ["k"])
+    assert got.columns == ["k", "text", "row_index"]
+    r = got.agg(F.count("*"), F.countDistinct("row_index"), F.min("row_index"), F.max("row_index"), F.countDistinct("text")).first()
+    assert tuple(r) == (1_000_000, 1_000_000, 0, 999_999, 1_000_000)
+    runs = got.groupBy("k").agg(F.min("row_index").alias("a"), F.max("row_index").alias("b"), F.count("*").alias("n"))
+    assert runs.where("b - a + 1 <> n").count() == 0 and runs.join(df.groupBy("k").count(), "k").where("n <> count").count() == 0
+    assert [r.k for r in got.orderBy("row_index").limit(2000).select("k").collect()] == [r.k for r in df.orderBy("k").limit(2000).collect()]
+    odd = spark.createDataFrame([(1, {"a": 1}), (1, {"b": 2}), (None, None)], "k long, m map<string,int>")
+    assert [(r.row_index, r.k) for r in dataset.row_index(odd, ["k"]).orderBy("row_index").collect()] == [(0, None), (1, 1), (2, 1)]
+    whole = spark.range(1_000_001).select((F.col("id") / 7).alias("weight"), F.lit("x").alias("more"))
+    assert terms.upper_median(whole).first().upper_median == 500_000 / 7
 
 
 def overlap_loop(rows):
@@ -102,22 +120,37 @@ def overlap_loop(rows):
 
 def test_phrase_penalty_against_all_earlier_phrases(spark):
     rnd = random.Random(4)
-    rows, want = [], {}
-    for d in range(60):
+    for d in range(300):
+        longest = 5 if d % 2 else 12
         own = []
-        for pos in range(rnd.randrange(1, 20)):
-            t = [rnd.choice("abcdefgh") for _ in range(rnd.randrange(1, 5))]
+        for _ in range(rnd.randrange(1, 20)):
+            t = [rnd.choice("abcdefghijkl") for _ in range(rnd.randrange(1, longest))]
             own.append((t, " ".join(t), rnd.random()))
-            rows.append((d, 0, pos, len(t), " ".join(t), [(x, "n", 0.0, 0.0) for x in t], own[-1][2]))
-        want[d] = overlap_loop(own)
-    df = spark.createDataFrame(rows, "doc_id long, sent int, pos int, n int, phrase string, p array<struct<token:string,tag:string,w:double,topic:double>>, score double")
+        assert [(p, round(x, 9)) for p, x in phrases.without_overlap(own, None)] == overlap_loop(own)
+        assert len(phrases.without_overlap(own, 2)) <= 2
+    none = spark.createDataFrame([], "token string, weight double")
+    with pytest.raises(ValueError):
+        phrases.key_phrases(spark.createDataFrame([(1, "a")], "doc_id long, text string"), none, none, top_k=-1)
+
+
+@pytest.mark.parametrize("rules", [{}, {"strict": False}, {"allow_place": False}, {"strict": False, "allow_person": False, "allow_place": False}, {"specified": ["bb", "e"]}, {"remove_words": ["bb"], "max_window": 3}, {"max_chars": 6, "remove_phrases": ["a c"]}])
+def test_phrases_in_a_pass_are_those_of_the_tables(spark, rules):
+    rnd = random.Random(6)
+    tags = {"a": "n", "bb": "a", "c": "ns", "dd": "nr", "e": "v", "ff": "u", "g": "vn", "de": "n", "hh": "ad"}
+    tagger = lambda t: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in tags.items() for x in kv]), t), F.lit("n"))
+    docs = spark.createDataFrame([(d, ". ".join(" ".join(rnd.choice(list(tags)) for _ in range(rnd.randrange(9))) for _ in range(4))) for d in range(12)] + [(99, None), (98, "")], "doc_id long, text string")
+    idf, topic = spark.createDataFrame([("a", 1.0), ("bb", 3.0), ("g", 2.5)], "token string, weight double"), spark.createDataFrame([("a", 0.5), ("c", 0.25)], "token string, weight double")
+    rows = phrases.phrase_scores(phrases.candidates(phrases.weighted_tokens(phrases.weighted_sentences(docs, idf, topic, criterion="latin_fine", tagger=tagger, specified=rules.get("specified", ()))), **rules)).orderBy("doc_id", "sent", "pos", "n").collect()
+    want = {}
+    for r in rows:
+        want.setdefault(r.doc_id, []).append(([x.token for x in r.p], r.phrase, r.score))
     got = {}
-    for r in phrases.without_overlap(df, None).orderBy("doc_id", "rank").collect():
+    for r in phrases.key_phrases(docs, idf, topic, top_k=None, criterion="latin_fine", tagger=tagger, **rules).orderBy("doc_id", "rank").collect():
         got.setdefault(r.doc_id, []).append((r.phrase, round(r.score, 9)))
-    assert got == {k: v for k, v in want.items() if v}
-    assert phrases.without_overlap(df, 2).groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 2
-    with pytest.raises(ValueError):
-        phrases.without_overlap(df, -1)
+    assert got == {k: v for k, v in ((k, overlap_loop(v)) for k, v in want.items()) if v} and got
+    # unknown words weigh the upper median and half the mean
+    words = {x.token: (x.idf, x.topic) for r in phrases.weighted_sentences(docs, idf, topic, criterion="latin_fine", tagger=tagger).collect() for x in r.words or []}
+    assert words["a"] == (1.0, 0.5) and words["c"] == (2.5, 0.25) and words["hh"] == (2.5, 0.1875) and words["bb"] == (3.0, 0.1875)
 
 
 def test_phrase_rules_with_a_lexicon(spark):
@@ -125,7 +158,7 @@ def test_phrase_rules_with_a_lexicon(spark):
     tagger = lambda t: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in tags.items() for x in kv]), t), F.lit("n"))
     docs = spark.createDataFrame([(1, "big river of paris run fast. anna big")], "doc_id long, text string")
     none = spark.createDataFrame([], "token string, weight double")
-    weighted = phrases.token_weights(phrases.tagged_tokens(docs, "latin_fine", tagger=tagger), none, none, 1.0, 0.5)
+    weighted = phrases.weighted_tokens(phrases.weighted_sentences(docs, none, none, 1.0, 0.5, criterion="latin_fine", tagger=tagger))
     all_of = lambda **o: {r.phrase for r in phrases.candidates(weighted, **o).collect()}
     assert all_of() == {"big river", "river", "paris", "anna"} and all_of(allow_place=False) == {"big river", "river", "anna"}
     assert all_of(specified=["big"]) == {"big river"} and all_of(remove_words=["river"]) == {"paris", "anna"} and all_of(remove_phrases=["river"]) == {"big river", "paris", "anna"}
