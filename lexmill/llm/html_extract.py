@@ -1,16 +1,25 @@
 """Main text of web pages by two passes of block rules.
 
 A scanner cuts a page into blocks at block-level tags and notes for each its text, its
-links' share of it, whether it is a heading, and its context: inside an article or main
-element, or inside menus, page headers and footers, sidebars, notices, adverts, forms or
-reader comments (by tag, role, class or id).
-
-Pass 1 classifies each block on its own: such a context is bad, link density over
-`max_link_density` is bad, and else an article's block is good; outside of an article,
-stop-word density and length decide between good, near-good, short and bad. Pass 2 gives
-the ambiguous short and near-good blocks the label of their nearest decided neighbours.
+links' share of it, whether it is a heading, the section that it stands in (an article or
+main element, or the rest of the page), and whether it lies in menus, page headers and
+footers, sidebars, notices, adverts, forms or reader comments (by tag, role, class or id).
+
+Pass 1 classifies each block on its own. Link density over `max_link_density` is bad, and
+so is what lies in such a part of the page. Stop-word density and length class the others:
+long ones of many stop words are good; of some, near-good; under `short` characters,
+short; of few stop words, poor.
+
+Pass 2 decides these last three by the nearest good or link-dense blocks on either side in
+their section: near-good ones are good if one side is; short and headings if none is bad
+(a heading follows what comes after it); poor ones if no side is bad and one is good.
+Without a decided block on either side near-good ones are good, and all are in an article,
+or where the page has none.
 Text is never shortened: a block is kept whole or dropped whole.
 
+A scan takes time in proportion to the page, whatever is left open in it. A tag's quoted
+values may hold any text; a quote that is never closed counts as a plain character.
+
 Null and empty pages, and those without a good block, give the empty text. Other columns
 are kept, but for those named like a result. Unclosed tags end with their parent.
 """
@@ -19,6 +28,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -56,17 +66,18 @@ BAD_NAMES = re.compile(
 )
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 #: The rest of a tag: a > counts as its end unless it stands in a quoted value.
-TAG_REST = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]{0,9999}"|'[^']{0,9999}')?+)*+>""")
+TAG_REST = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+>""")
+CLOSE = {t: re.compile(rf"</{t}\b", re.I | re.A) for t in RAW | SKIP}
 NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9:-]*)")
 WORD = re.compile(r"[^\W\d_]+")
 FIELDS = [T.StructField("text", T.StringType()), T.StructField("n_blocks", T.LongType()), T.StructField("n_kept", T.LongType())]
 
 
 class Block:
-    __slots__ = ("text", "linked", "heading", "context", "label")
+    __slots__ = ("text", "linked", "heading", "context", "section", "label")
 
-    def __init__(self, text: str, linked: int, heading: bool, context: str):
-        self.text, self.linked, self.heading, self.context, self.label = text, linked, heading, context, ""
+    def __init__(self, text: str, linked: int, heading: bool, context: str, section: int = 0):
+        self.text, self.linked, self.heading, self.context, self.section, self.label = text, linked, heading, context, section, ""
 
 
 def context_of(tag: str, attributes: str, above: str) -> str:
@@ -91,17 +102,37 @@ def blocks(page: str) -> list[Block]:
     parts: list[str] = []
     linked = anchors = 0
     heading = False
-    stack: list[tuple[str, str]] = []  # open elements and the context in them
-    context, at, n = "", 0, len(page)
+    stack: list[tuple[str, str, str, int]] = []  # open elements: tag, the context in them, the tag that made it bad, section
+    opened: Counter[str] = Counter()
+    never: set[str] = set()  # tags that are not closed any more
+    context, cause, section, sections, at, n = "", "", 0, 0, 0, len(page)
 
     def flush() -> None:
         nonlocal parts, linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, linked, heading, context))
+                out.append(Block(text, linked, heading, context, section))
             parts, linked = [], 0
 
+    def pop() -> str:
+        nonlocal context, cause, section
+        tag = stack.pop()[0]
+        opened[tag] -= 1
+        _, context, cause, section = stack[-1] if stack else ("", "", "", 0)
+        return tag
+
+    def after(tag: str) -> int:
+        """The place after the element's closing tag, -1 where there is none."""
+        if tag in never:
+            return -1
+        m = CLOSE[tag].search(page, at)
+        end = page.find(">", m.end()) if m else -1
+        if end < 0:
+            never.add(tag)
+            return -1
+        return end + 1
+
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
@@ -134,10 +165,10 @@ def blocks(page: str) -> list[Block]:
         at = end + 1
         if tag in RAW or tag in SKIP:
             if not closing and not attributes.endswith("/"):
-                close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
                 if tag in BLOCK:
                     flush()
-                at = close.end() if close else (at if tag not in ("script", "style") else n)
+                close = after(tag)
+                at = close if close >= 0 else (at if tag not in ("script", "style") else n)
             continue
         if tag == "br":
             parts.append(" ")
@@ -147,56 +178,74 @@ def blocks(page: str) -> list[Block]:
         if tag == "a":
             anchors = 0 if closing else 1
         if closing:
-            if any(t == tag for t, _ in stack):
-                while stack:
-                    t, _ = stack.pop()
-                    if t == tag:
-                        break
-                context = stack[-1][1] if stack else ""
+            if opened[tag]:
+                while pop() != tag:
+                    pass
             if tag in BLOCK:
                 anchors, heading = 0, False
         elif tag in BLOCK and not attributes.endswith("/") and tag not in VOID:
-            if tag in ("article", "main") and context == "bad":  # a page-wide form, or a menu or page header left open
-                if next(t for t, c in stack if c == "bad") in ("nav", "header", "form"):
-                    context = ""
+            if tag in ("article", "main") and context == "bad" and cause in ("nav", "header", "form"):
+                context = ""  # a page-wide form, or a menu or page header left open
             if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == tag:
-                stack.pop()
-                context = stack[-1][1] if stack else ""
+                pop()
             heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6")
             anchors = 0
-            context = context_of(tag, attributes, context)
-            stack.append((tag, context))
+            above, context = context, context_of(tag, attributes, context)
+            if context == "bad" != above:
+                cause = tag
+            if context == "article" != above:
+                sections += 1
+                section = sections
+            stack.append((tag, context, cause, section))
+            opened[tag] += 1
     flush()
     return out
 
 
-def classify(found: list[Block], stop_words: frozenset[str] = STOP_WORDS, short: int = 70, long: int = 200, low: float = 0.15, high: float = 0.30, max_link_density: float = 0.5) -> list[Block]:
+def first_pass(b: Block, stop_words: frozenset[str] = STOP_WORDS, short: int = 70, long: int = 200, low: float = 0.15, high: float = 0.30, max_link_density: float = 0.5) -> str:
+    """bad, good, or what pass 2 decides: near, short or poor."""
+    if b.linked > max_link_density * len(b.text):
+        return "bad"
+    if b.context == "bad":
+        return "off"
+    if len(b.text) < short:
+        return "short"
+    words = WORD.findall(b.text.lower())
+    stops = sum(w in stop_words for w in words) / max(1, len(words))
+    return "poor" if stops < low else "good" if stops >= high and len(b.text) > long else "near"
+
+
+def second_pass(b: Block, before: str, after: str, articles: bool) -> str:
+    """good or bad, by the nearest decided labels before and after the block ("" for none); articles: the page has some."""
+    if not (before or after):
+        return "good" if b.label == "near" or b.context == "article" or not articles else "bad"
+    sides = (before, after)
+    if b.label == "near":
+        return "good" if "good" in sides else "bad"
+    if b.heading and after:
+        return after
+    return "good" if "bad" not in sides else "bad"
+
+
+def classify(found: list[Block], **rules) -> list[Block]:
     """Sets each block's label: good or bad."""
     for b in found:
-        density = b.linked / len(b.text)
-        if b.context == "bad" or density > max_link_density:
-            b.label = "bad"
-        elif b.context == "article":
-            b.label = "good"
-        elif len(b.text) < short:
-            b.label = "bad" if b.linked and not b.heading else "short"
-        else:
-            words = WORD.findall(b.text.lower())
-            stops = sum(w in stop_words for w in words) / max(1, len(words))
-            b.label = ("good" if len(b.text) > long else "near") if stops >= high else "near" if stops >= low else "bad"
-    before, last = [], ""  # the nearest decided label on either side
-    for b in found:
-        before.append(last)
-        last = b.label if b.label in ("good", "bad") else last
-    after, last = [], ""
-    for b in reversed(found):
-        after.append(last)
-        last = b.label if b.label in ("good", "bad") else last
-    for b, left, right in zip(found, before, reversed(after), strict=True):
-        if b.label == "near":
-            b.label = "good" if "good" in (left, right) or not (left or right) else "bad"
-        elif b.label == "short":
-            b.label = "good" if right == "good" and (b.heading or left in ("good", "")) or left == "good" and right == "" and not b.heading else "bad"
+        b.label = first_pass(b, **rules)
+
+    def nearest(order) -> list[str]:
+        """For each block of the order the last decided label in its section."""
+        last: dict[int, str] = {}
+        out = []
+        for b in order:
+            out.append(last.get(b.section, ""))
+            if b.label in ("good", "bad") and b.context != "bad":  # what other parts of the page hold says nothing of this one
+                last[b.section] = b.label
+        return out
+
+    articles = any(b.context == "article" for b in found)
+    for b, before, after in zip(found, nearest(found), reversed(nearest(reversed(found))), strict=True):
+        # labels are read above, before any is set
+        b.label = "bad" if b.label == "off" else b.label if b.label in ("good", "bad") else second_pass(b, before, after, articles)
     return found
 
 
