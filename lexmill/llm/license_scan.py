@@ -236,32 +236,52 @@ MOST, LOOK_BACK, BESIDE = 512, 16_384, 256
 def gates(pattern: str) -> list[list[str]]:
     """Lists of strings, the most telling first: any match of the pattern holds a string of each list.
 
-    A list is a run of plain characters outside of optional parts, or one for each branch of a group.
+    A list is a run of plain characters outside of optional parts, or one for each branch of
+    a group. What always follows a space has it before it, so that it begins a word.
     """
 
-    def lists(tree) -> list[list[str]]:
+    def lists(tree, spaced: bool) -> tuple[list[list[str]], bool]:
+        """The lists, and whether a space always stands at the end; spaced: one stands before."""
         out, run = [], ""
         for op, arg in [*tree, (None, None)]:
             if str(op) == "LITERAL":
-                run += chr(arg)
+                run = (run or (" " if spaced and arg != 32 else "")) + chr(arg)
+                spaced = arg == 32
                 continue
             out, run = ([*out, [run]] if run else out), ""
             if str(op) == "SUBPATTERN":
-                out += lists(arg[-1])
+                more, spaced = lists(arg[-1], spaced)
+                out += more
             elif str(op) == "BRANCH":
-                ways = [lists(way) for way in arg[1]]
-                if all(ways):
-                    out.append(sorted({x for way in ways for x in max(way, key=telling)}))
-        return out
+                ways = [lists(way, spaced) for way in arg[1]]
+                spaced = all(end for _, end in ways)
+                if all(found for found, _ in ways):
+                    out.append(sorted({x for found, _ in ways for x in max(found, key=telling)}))
+            elif str(op) == "MAX_REPEAT" and arg[:2] == (0, 1):
+                spaced = spaced and lists(arg[2], spaced)[1]
+            elif op is not None:
+                spaced = False
+        return out, spaced
 
     telling = lambda x: min(map(len, x))
-    return sorted(lists(parser.parse(pattern)), key=telling, reverse=True)
+    return sorted(lists(parser.parse(pattern), False)[0], key=telling, reverse=True)
 
 
 def anchors(own: list[Rule]) -> str:
-    """A regex that finds something in each text that holds a match of one of the rules."""
-    found = {x for r in own for x in gates(r.pattern)[0]}
-    return "|".join(sorted(x for x in found if not any(y != x and y in x for y in found)))
+    """A regex that finds something in each text that holds a match of one of the rules: beginnings of words, as a tree of characters."""
+    found = set()
+    for r in own:
+        # the most telling list of strings that begin a word; 16 characters tell enough
+        found.update(x[:16] for x in next(g for g in gates(r.pattern) if all(x[0] == " " for x in g)))
+    found = {x for x in found if not any(y != x and x.startswith(y) for y in found)}
+
+    def tree(ends: list[str]) -> str:
+        if "" in ends:
+            return ""
+        ways = [c + tree([x[1:] for x in ends if x[0] == c]) for c in sorted({x[0] for x in ends})]
+        return ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})"
+
+    return tree(sorted(found))
 
 
 @dataclass(frozen=True)
