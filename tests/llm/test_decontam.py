@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import pytest
 from lexmill.llm import decontam as S
@@ -16,20 +17,20 @@ def brute(text, items, window=10):
     for item, t in items:
         b = words(t)
         k = min(window, len(b))
-        if item is None or not k:
+        if not k:
             continue
         for p in {tuple(b[i : i + k]) for i in range(len(b) - k + 1)}:
             for i in range(len(w) - k + 1):
                 if tuple(w[i : i + k]) == p:
                     hit |= set(range(i, i + k))
                     ids.add(str(item))
-    return len(w), len(hit), sorted(ids)
+    return len(w), len(hit), sorted(ids - {"None"})
 
 
 def tables():
     rnd = random.Random(8)
     text = lambda n, v="abcde": " ".join(rnd.choice(v) + rnd.choice(["", "x", "É"]) for _ in range(n))
-    items = [(f"i{k}", text(rnd.choice([1, 2, 3, 9, 10, 11, 40]), "abcdefghijklmnop")) for k in range(30)] + [("n", None), (None, "a b"), ("e", "..."), ("i3", "zz yy xx"), ("9", "Same words, twice; same words twice!"), ("10", "same words twice")]
+    items = [(f"i{k}", text(rnd.choice([1, 2, 3, 9, 10, 11, 40]), "abcdefghijklmnop")) for k in range(30)] + [("n", None), (None, "ax b c"), (None, "e ex"), ("e", "..."), ("i3", "zz yy xx"), ("9", "Same words, twice; same words twice!"), ("10", "same words twice")]
     docs = [(i, text(rnd.randrange(60))) for i in range(60)]
     for i in range(40):
         t = rnd.choice(items)[1] or ""
@@ -57,3 +58,19 @@ def test_query_and_empty_tables(spark, tmp_path):
         assert tuple(r) == (r.doc_id, n, hit, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), hit > 0)
     df, none = spark.createDataFrame(docs[:5], "doc_id long, text string"), spark.createDataFrame([], "item_id string, text string")
     assert S.decontaminate(df, none).where("size(hits) > 0").count() == 0 and S.decontaminate(df.limit(0), none).count() == 0
+
+
+def test_tables_are_bounded():
+    """Memory of the tables, and of building them, for each byte of the benchmark: 16 MB, a block, stay under 1 GB for a worker process."""
+    rnd = random.Random(1)
+    vocabulary = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randrange(2, 10))) for _ in range(40_000)]
+    items = [(str(i), " ".join(rnd.choice(vocabulary) for _ in range(200)).encode()) for i in range(2000)]
+    size = sum(len(t) for _, t in items)
+    tracemalloc.start()
+    tables = S.Tables(items, 10)
+    kept, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert kept < 20 * size and peak < 50 * size, (kept / size, peak / size)
+    text = b"x " + items[7][1] + b" y " + items[9][1][:100]
+    n, spans, ids = S.search(text, tables)
+    assert ids == {"7", "9"} and spans[0] == [1, 201]
