@@ -48,7 +48,7 @@ def _repeats(words: Column) -> Column:
     """Words in 3-word windows found twice or more, by sorted (hash of the window, place)."""
     n = F.size(words)
     places = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.struct(F.xxhash64(F.element_at(words, i), F.element_at(words, i + 1), F.element_at(words, i + 2)).alias("h"), i.alias("i")))
-    return F.when(n >= 4, F.array_sort(places)).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
+    return F.when(n >= 4, F.sort_array(places)).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
 
 
 def counted(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -67,7 +67,7 @@ def counted(docs: DataFrame, text: str = "text", keep: list[str] | None = None)
     # windows that have their hash beside them in the order, by place; each covers the words up to the next one's start
     s = F.col("__s")
     same = F.filter(s, lambda x, k: (F.get(s, k - 1)["h"] == x["h"]) | (F.get(s, k + 1)["h"] == x["h"]))
-    df = df.select("__row", *COUNTS[:4], F.array_sort(F.transform(same, lambda x: x["i"])).alias("__p"))
+    df = df.select("__row", *COUNTS[:4], F.sort_array(F.transform(same, lambda x: x["i"])).alias("__p"))
     p = F.col("__p")
     covered = F.aggregate(F.transform(p, lambda i, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - i, F.lit(3)))), F.lit(0).cast("long"), lambda a, x: a + x)
     df = df.withColumn("n_repeat_words", covered)
@@ -134,7 +134,9 @@ def _sql3(least_rows: int = 200, fence: float = 3.0) -> str:
     least = "case measure " + " ".join(f"when '{m}' then {s}" for m, (_, s) in MEASURES.items()) + " end"
     inside = " and ".join(f"{m} <= max(case when measure = '{m}' then high end)" + f" and {m} >= max(case when measure = '{m}' then low end)" * (m == "word_length") for m in MEASURES)
     return rf"""
-with d as (select doc_id, lang, source, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) l from documents),
+with d as (select doc_id, lang, source, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) l from documents),
 win as (select doc_id, i, array_to_string(w[i:i + 2], ' ') g from (select doc_id, w, unnest(range(1, len(w) - 1)) i from d where len(w) >= 3)),
 rep as (select doc_id, count(distinct p) n from (select doc_id, unnest(range(i, i + 3)) p from (select *, count(*) over (partition by doc_id, g) c from win) where c > 1) group by 1),
 c as (

@@ -79,5 +79,12 @@ def test_stages_keep_the_columns_of_documents(spark, tmp_path):
         assert out.count() <= some.count()
 
 
+def test_near_copies_with_maps_and_clashing_names(spark, tmp_path):
+    rows = [(1, "the same words of a text " * 5, {"a": 1}, "z"), (2, "the same words of a text " * 5, None, "z"), (3, "another one", {"b": 2}, "y"), (3, "another one", {"b": 3}, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>, __h string")
+    out = corpus_pipeline.near_copies(spark, df, str(tmp_path))
+    assert out.columns == df.columns and sorted((r.doc_id, r["__h"]) for r in out.collect()) == [(1, "z"), (3, "y")]
+
+
 def test_stage_names_and_numbers():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "lines", "near_copies", "benchmark_free", "tokens"] and corpus_pipeline.ORACLE_SQL is None

@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 from lexmill.llm import quality_rules as S
 
 
@@ -47,6 +48,21 @@ def test_thresholds_follow_language_and_source(spark):
     assert kept[2000, False] and kept[2001, True] and kept[2002, True] and kept[2003, False] and kept[2004, True] == 2
 
 
+def test_small_sketches_against_sql(spark):
+    """With few rows asked for, the languages' and sources' own sketches set the bounds; the SQL gives the same verdicts."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    con = duckdb.connect()
+    con.execute("create view documents as select * from '/root/testdata/sf0.01/documents.parquet'")
+    verdicts = []
+    for least_rows in (1, 5, 20, 200):
+        got = sorted(tuple(r) for r in S.apply_rules(docs, least_rows, keep=["doc_id"]).collect())
+        assert got == sorted(con.execute(S._sql3(least_rows)).fetchall())
+        verdicts.append([r[-1] for r in got])
+    assert verdicts[1] != verdicts[3] and verdicts[2] != verdicts[3]
+    groups = docs.groupBy("lang", "source").count()
+    assert groups.where("count >= 5").count() > 0.8 * groups.count()
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, lang string, source string, kept string")
     got = S.apply_rules(df)
