@@ -39,17 +39,18 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word Jaccard similarities of 0.8 or more: that of the smallest id (of rows that share it, or of a group without ids, the row whose text has the smallest hash)."""
     hashed = F.xxhash64("text")
-    found = written(similar(docs.withColumn("__h", hashed).select("doc_id", "text", "__h"), keep=["doc_id", "__h"]), "groups")  # decisions go by hashes; texts move once, at the end
+    found = written(similar(docs.select("doc_id", "text", hashed.alias("__h")), keep=["doc_id", "__h"]), "groups")  # decisions go by hashes; texts move once, at the end
     # of each group the smallest id, then the smallest hash of a text; ids come before rows without one
     best = found.groupBy("group_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__h")).alias("x"))
     best = best.select("x.doc_id", "x.__h")
     # -1 can't stand for a missing id alone, so a flag goes with it
     keys = [F.coalesce("doc_id", F.lit(-1).cast("long")).alias("__d"), F.col("doc_id").isNull().alias("__null"), "__h"]
     stay = best.select(F.col("doc_id").cast("long").alias("doc_id"), "__h").select(*keys)
-    # equal rows meet in the tasks that read them, then once by key, where the join needs them too
+    # equal rows meet in the tasks that read them, then once by key, where the join needs them too; maps can't be compared, so hashes of the other columns choose
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")).alias("__d"), F.col("doc_id").isNull().alias("__null"), hashed.alias("__h"), row.alias("__row"))
-    rows = rows.groupBy("__d", "__null", "__h").agg(F.min("__row").alias("__row"))
+    plain = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")).alias("__d"), F.col("doc_id").isNull().alias("__null"), hashed.alias("__h"), row.alias("__row"), plain.alias("__plain"))
+    rows = rows.groupBy("__d", "__null", "__h").agg(F.min_by("__row", "__plain").alias("__row"))
     return rows.join(stay, ["__d", "__null", "__h"], "left_semi").select(*[F.col("__row")[c].alias(c) for c in docs.columns])
 
 
