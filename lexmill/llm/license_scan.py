@@ -322,7 +322,11 @@ def _base(t: Column, n_words: Column) -> Column:
 
 def _detected(t: Column, own: list[Rule]) -> Column:
     """All rules' matches without the spaces around them as (start, less = -end, rule, score, label), sorted."""
-    table = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(r.label).alias("label"), F.array(*[F.array(*map(F.lit, x)) for x in gates(r.pattern) if min(map(len, x)) > 2]).alias("gates"), F.lit(r.pattern).alias("pattern"), F.lit(r.score).alias("score")) for i, r in enumerate(own)])
+    # one parsed expression: a call for each literal would take longer than the scan of a small table
+    text = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    array = lambda xs, kind: f"cast(array({', '.join(xs)}) as array<{kind}>)"
+    own_gates = lambda r: array([array(map(text, x), "string") for x in gates(r.pattern) if min(map(len, x)) > 2], "array<string>")
+    table = F.expr(f"array({', '.join(f"named_struct('rule', {i}, 'label', {text(r.label)}, 'gates', {own_gates(r)}, 'pattern', {text(r.pattern)}, 'score', {r.score}D)" for i, r in enumerate(own))})")
     gated = F.filter(table, lambda r: F.forall(r["gates"], lambda x: F.exists(x, lambda g: F.contains(t, g))))
 
     def of(r: Column) -> Column:
