@@ -23,10 +23,13 @@ _SQL: dict[str, str] = {}
 
 
 def queries() -> dict[str, Query]:
+    from lexmill import catalogue_storage  # noqa: F401  adds its queries
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
 
 

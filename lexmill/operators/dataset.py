@@ -7,7 +7,8 @@ from functools import reduce
 
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,61 +47,127 @@ def row_index(df: DataFrame, order: Sequence[str], name: str = "row_index") -> D
 def map_dataset(
     df: DataFrame, function: Callable | None, schema: T.StructType | str | None = None, input_columns: str | Sequence[str] | None = None, remove_columns: str | Sequence[str] | None = None,
     with_indices: bool = False, with_rank: bool = False, order: Sequence[str] | None = None, batched: bool = False, batch_size: int = 1000, drop_last_batch: bool = False, shards: int | None = None,
-    fn_kwargs: dict | None = None, keep: bool = False,
+    fn_kwargs: dict | None = None, keep: bool = False, cache_path: str | None = None,
 ) -> DataFrame:
     """The dataset with the columns that the function gives for each row (dict) or batch (dict of lists).
 
     function None changes nothing but remove_columns. schema names the new columns. Row
-    numbers are global, in the given order; the shard is the partition. keep persists the
-    result on memory and disk, so that only lost parts are computed again.
+    numbers are global, in the given order. shards are runs of rows in that order, whose
+    numbers of rows differ by one at most; there are no more of them than rows. Without
+    shards the rank is the partition. keep persists the result on memory and disk, so that
+    only lost parts are computed again. cache_path keeps each shard as a partition of a
+    table; a later call computes only the shards that the table lacks. The two exclude
+    each other.
     """
     if shards is not None and shards <= 0:
         raise ValueError("shards must be positive")
+    if keep and cache_path is not None:
+        raise ValueError("keep and cache_path exclude each other")
     wanted, removed = _columns(df, input_columns, "input_columns"), _columns(df, remove_columns, "remove_columns")
     if function is None:
         return df.drop(*removed)
     if schema is None:
         raise ValueError("schema of the new columns is needed")
     new = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    if with_indices:
+    cut_up = shards is not None and (with_rank or cache_path is not None)
+    if with_indices or cut_up:
         df = row_index(df, order or df.columns, INDEX)
-    if shards:
-        df = df.repartition(shards) if not with_indices else df.repartitionByRange(shards, INDEX)
-    if with_rank:
-        df = df.withColumn(SHARD, F.spark_partition_id())
+    if cut_up:
+        df = df.withColumn(SHARD, contiguous_shard(F.col(INDEX), df.count(), shards))
+    elif with_rank:
+        df = (df.repartition(shards) if shards else df).withColumn(SHARD, F.spark_partition_id())
+    elif shards:
+        df = df.repartitionByRange(shards, INDEX) if with_indices else df.repartition(shards)
+    if cache_path is not None:
+        return _cached(df if cut_up else df.withColumn(SHARD, F.lit(0)), cache_path, lambda part: _mapped(part, function, new, wanted, removed, with_indices, with_rank, batched, batch_size, drop_last_batch, fn_kwargs, SHARD))
+    out = _mapped(df, function, new, wanted, removed, with_indices, with_rank, batched, batch_size, drop_last_batch, fn_kwargs)
+    return out.persist(StorageLevel.MEMORY_AND_DISK) if keep else out
+
+
+def contiguous_shard(index: Column, rows: int, shards: int) -> Column:
+    """The shard of a row number: the first rows mod shards of them have one row more than the others."""
+    k = max(1, min(shards, rows))
+    size, longer = divmod(rows, k)
+    if not size:
+        return F.lit(0)
+    head = longer * (size + 1)
+    return F.when(index < head, F.floor(index / (size + 1))).otherwise(longer + F.floor((index - head) / size)).cast("int")
+
+
+def _cached(df: DataFrame, path: str, mapped: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The mapped rows from the table under path, whose missing shards are computed and added first.
+
+    Shards are found by `done`, a small table beside the rows that is written after them:
+    a run that breaks off leaves no shard that counts as there.
+    """
+    spark, rows, done = df.sparkSession, f"{path}/rows", f"{path}/done"
+    try:
+        there = spark.read.schema(f"{SHARD} int").parquet(done)
+        todo = df.join(F.broadcast(there), SHARD, "left_anti")  # a number for each shard
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        todo = df
+    out = mapped(todo)
+    # shards without a finished mark are replaced, others stay
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(SHARD).parquet(rows)
+    todo.select(SHARD).distinct().coalesce(1).write.mode("append").parquet(done)
+    return spark.read.schema(out.schema).parquet(rows).drop(SHARD)
+
+
+def _mapped(
+    df: DataFrame, function: Callable, new: T.StructType, wanted: list[str], removed: list[str], with_indices: bool, with_rank: bool,
+    batched: bool, batch_size: int, drop_last_batch: bool, fn_kwargs: dict | None, carried: str | None = None,
+) -> DataFrame:
+    """The function over the rows of each partition; a carried column stays in the result, and batches don't cross its values."""
+    marked = [c for c, use in ((INDEX, with_indices), (SHARD, with_rank)) if use]
     extra, kwargs = [c for c in (INDEX, SHARD) if c in df.columns], fn_kwargs or {}
     kept = [c for c in df.columns if c not in removed and c not in extra and c not in new.names]
-    out_schema = T.StructType([*[f for f in df.schema if f.name in kept], *new.fields])
+    carry = [carried] if carried else []
+    out_schema = T.StructType([*[f for f in df.schema if f.name in kept], *new.fields, *[f for f in df.schema if f.name in carry]])
 
     def call(given: list, marks: list):
         return function(*given, *marks, **kwargs)
 
     def one_batch(part: pd.DataFrame) -> pd.DataFrame:
-        marks = [part[c] for c in extra]
+        marks = [part[c] for c in marked]
         if batched:
             given = [part[c].tolist() for c in wanted] if wanted else [{c: part[c].tolist() for c in part.columns if c not in extra}]
             found = pd.DataFrame(call(given, [m.tolist() for m in marks]))
             if len(found) != len(part):  # a batch may change its number of rows if no column is kept beside it
                 if kept:
                     raise ValueError("a batch of another size needs remove_columns for all columns")
-                return found[new.names]
+                return found[new.names].assign(**{c: part[c].iloc[0] for c in carry})
         else:
             rows = part.drop(columns=extra).to_dict("records")
             found = pd.DataFrame([call([r[c] for c in wanted] if wanted else [r], [m.iloc[i] for m in marks]) for i, r in enumerate(rows)], columns=new.names, index=range(len(rows)))
-        return pd.concat([part[kept].reset_index(drop=True), found[new.names].reset_index(drop=True)], axis=1)
+        return pd.concat([part[kept].reset_index(drop=True), found[new.names].reset_index(drop=True), part[carry].reset_index(drop=True)], axis=1)
+
+    def cut_by(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The parts, split where the carried column changes."""
+        for part in parts:
+            if not carried or part.empty:
+                yield part
+            else:
+                yield from (p for _, p in part.groupby(part[carried].ne(part[carried].shift()).cumsum()))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
-        for part in parts:
-            held = part if held is None else pd.concat([held, part], ignore_index=True)
+        for part in cut_by(parts):
+            if carried and held is not None and len(held) and len(part) and held[carried].iloc[0] != part[carried].iloc[0]:
+                if not (batched and drop_last_batch):
+                    yield one_batch(held)
+                held = None
+            held = part.reset_index(drop=True) if held is None else pd.concat([held, part], ignore_index=True)
             while len(held) >= batch_size:
                 yield one_batch(held.iloc[:batch_size].reset_index(drop=True))
                 held = held.iloc[batch_size:].reset_index(drop=True)
         if held is not None and len(held) and not (batched and drop_last_batch):
             yield one_batch(held)
 
-    out = df.mapInPandas(run, out_schema)
-    return out.persist(StorageLevel.MEMORY_AND_DISK) if keep else out
+    if carried:  # each shard's rows together and in order
+        df = df.repartition(carried).sortWithinPartitions(*[c for c in (carried, INDEX) if c in df.columns])
+    return df.mapInPandas(run, out_schema)
 
 
 def shuffled(df: DataFrame, key: str, seed: int = 666, name: str | None = None) -> DataFrame:

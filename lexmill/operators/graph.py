@@ -119,13 +119,14 @@ class SentenceGraph:
         by_class = np.bincount(self.cls, self.value, self.m)
         return np.bincount(self.i, by_class[self.of] - self.own, self.n)
 
-    def rank(self, damping: float = 0.85, max_iter: int = 200, min_diff: float = 0.001) -> tuple[np.ndarray, list[int]]:
-        """Scores, and sentence numbers by falling score; of equal scores the later sentence first."""
+    def rank(self, damping: float = 0.85, max_iter: int = 200, min_diff: float = 0.001, signed: bool = False) -> tuple[np.ndarray, list[int]]:
+        """Scores, and sentence numbers by falling score; of equal scores the later sentence first. signed stops when no score rises by min_diff."""
         sums, s = self.column_sums(), np.ones(self.n)
         inverse = np.divide(1.0, sums, out=np.zeros(self.n), where=sums != 0)
         for _ in range(max_iter):
             new = (1 - damping) + damping * self.times(s * inverse)
-            done = self.n == 0 or np.abs(new - s).max() < min_diff
+            change = new - s if signed else np.abs(new - s)
+            done = self.n == 0 or change.max() < min_diff
             s = new
             if done:
                 break

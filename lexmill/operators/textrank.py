@@ -35,12 +35,12 @@ def _sentence_tokens(docs: DataFrame, criterion: str, script: str | None, text:
     return df.withColumn("__both", F.transform("__sents", lambda s: F.struct(s.alias("sentence"), filter_tokens(tokenize(s), script=script).alias("tokens"))))
 
 
-def sentence_ranks(docs: DataFrame, criterion: str = "coarse", max_iter: int = 200, min_diff: float = 0.001, script: str | None = "letters", text: str = "text", cleaned: bool = True, keep: list[str] | None = None) -> DataFrame:
-    """The documents with scores (one for each sentence) and ranks (sentence numbers, the best first)."""
+def sentence_ranks(docs: DataFrame, criterion: str = "coarse", max_iter: int = 200, min_diff: float = 0.001, script: str | None = "letters", text: str = "text", cleaned: bool = True, keep: list[str] | None = None, signed: bool = False) -> DataFrame:
+    """The documents with scores (one for each sentence) and ranks (sentence numbers, the best first). signed is the graph's rule to stop."""
 
     def make():
         def f(sents: list | None):
-            s, order = SentenceGraph([x["tokens"] or [] for x in sents or []]).rank(max_iter=max_iter, min_diff=min_diff)
+            s, order = SentenceGraph([x["tokens"] or [] for x in sents or []]).rank(max_iter=max_iter, min_diff=min_diff, signed=signed)
             return s.tolist(), order
 
         return f

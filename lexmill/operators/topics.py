@@ -10,8 +10,8 @@ from __future__ import annotations
 import math
 
 from pyspark.ml.clustering import LDA, LDAModel
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,9 +98,14 @@ def clusters(doc_topic: DataFrame) -> DataFrame:
 
 
 def vectors(bow: DataFrame, size: int) -> DataFrame:
-    """(doc_id, features): sparse vectors of (doc_id, token_id, cnt)."""
-    make = F.udf(lambda xs: SparseVector(size, [(int(x.token_id), float(x.cnt)) for x in xs]), VectorUDT())
-    return bow.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("token_id", "cnt"))).alias("x")).select("doc_id", make("x").alias("features"))
+    """(doc_id, features): sparse vectors of (doc_id, token_id, cnt), counts being whole numbers.
+
+    Spark's own vectors of counts over the ids as words: no Python rows.
+    """
+    words = F.flatten(F.collect_list(F.array_repeat(F.col("token_id").cast("string"), F.col("cnt").cast("int"))))
+    listed = bow.groupBy("doc_id").agg(words.alias("__words"))
+    counter = CountVectorizerModel.from_vocabulary([str(i) for i in range(size)], inputCol="__words", outputCol="features")
+    return counter.transform(listed).select("doc_id", "features")
 
 
 class TopicModel:
@@ -143,13 +148,14 @@ class TopicModel:
         return self.fit(features).transform(features)
 
     def topic_word(self, vocab: DataFrame) -> DataFrame:
-        """(topic, token, p) with p summing to 1 for each topic; the model's matrix is of the vocabulary's size, which is bounded."""
-        m = self._trained().topicsMatrix()
-        spark = vocab.sparkSession
-        rows = [(int(w), int(t), float(m[w, t])) for w in range(m.numRows) for t in range(m.numCols)]
-        raw = spark.createDataFrame(rows, "token_id long, topic int, v double")
-        total = raw.groupBy("topic").agg(F.sum("v").alias("total"))
-        return raw.join(F.broadcast(total), "topic").join(vocab, "token_id").select("topic", "token", (F.col("v") / F.col("total")).alias("p"))
+        """(topic, token, p) with p summing to 1 for each topic; a row of the model's own table holds a topic's whole vocabulary, which is bounded."""
+        model = self._trained()
+        described = model.describeTopics(model.vocabSize()).select("topic", F.explode(F.arrays_zip("termIndices", "termWeights")).alias("x"))
+        return described.join(vocab, F.col("x.termIndices") == F.col("token_id")).select("topic", "token", F.col("x.termWeights").alias("p"))
+
+    def score(self, features: DataFrame) -> float:
+        """The documents' log likelihood under the model (a lower bound)."""
+        return self._trained().logLikelihood(features)
 
     def log_perplexity(self, features: DataFrame) -> float:
         return self._trained().logPerplexity(features)

@@ -21,8 +21,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return top
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A path in the shared folder that no other table has."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/lexmill-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder, computed once and read again; it outlives lost executors."""
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/lexmill-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

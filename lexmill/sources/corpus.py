@@ -89,9 +89,9 @@ def read_svmlight(spark: SparkSession, path: str, size: int) -> DataFrame:
 
 
 def read_weights(spark: SparkSession, path: str) -> DataFrame:
-    """(token, weight) of a file that is one JSON object."""
+    """(place, token, weight) of a file that is one JSON object; place is the token's, from 0."""
     parsed = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,double>").alias("m"))
-    return parsed.select(F.explode("m").alias("token", "weight"))
+    return parsed.select(F.posexplode("m").alias("place", "token", "weight"))
 
 
 def write_weights(weights: DataFrame, path: str) -> None:
@@ -99,6 +99,15 @@ def write_weights(weights: DataFrame, path: str) -> None:
     weights.select("token", "weight").repartitionByRange("weight", "token").sortWithinPartitions("weight", "token").write.mode("overwrite").json(path)
 
 
+def write_weight_object(weights: DataFrame, path: str, most: int = 1_000_000) -> None:
+    """One JSON object from token to weight, by rising weight (ties by token): for vocabularies of `most` tokens at most, as one task writes it."""
+    if weights.limit(most + 1).count() > most:
+        raise ValueError(f"one object is for {most} tokens at most; use write_weights")
+    listed = weights.agg(F.sort_array(F.collect_list(F.struct("weight", "token"))).alias("x"))
+    entries = F.transform("x", lambda x: F.struct(x["token"].alias("key"), x["weight"].alias("value")))
+    listed.select(F.to_json(F.map_from_entries(entries)).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
 def read_weight_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("token string, weight double").json(path)
 

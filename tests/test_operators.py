@@ -199,6 +199,25 @@ def test_dataset_map(spark):
             dataset.map_dataset(df, lambda r: {}, "n long", **bad)
 
 
+def test_shards_and_cache(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"t{i}") for i in range(11)], "id long, text string").repartition(3)
+    options = {"schema": "n long", "input_columns": "id", "order": ["id"], "shards": 4}
+    shard_of = lambda rows: [r.n for r in sorted(rows, key=lambda r: r.id)]
+    assert shard_of(dataset.map_dataset(df, lambda i, k: {"n": int(k)}, with_rank=True, **options).collect()) == [0, 0, 0, 1, 1, 1, 2, 2, 2, 3, 3]
+    assert shard_of(dataset.map_dataset(df, lambda i, k: {"n": int(k)}, with_rank=True, **(options | {"shards": 99})).collect()) == list(range(11))
+    path = f"{tmp_path}/cache"
+    first = dataset.map_dataset(df, lambda i: {"n": i}, cache_path=path, **options)
+    assert first.columns == ["id", "text", "n"] and shard_of(first.collect()) == list(range(11))
+    spark.createDataFrame([(k,) for k in (0, 1, 3)], f"{dataset.SHARD} int").coalesce(1).write.mode("overwrite").parquet(f"{path}/done")
+    again = dataset.map_dataset(df, lambda i: {"n": -i}, cache_path=path, **options)  # the third shard is missing
+    assert shard_of(again.collect()) == [0, 1, 2, 3, 4, 5, -6, -7, -8, 9, 10]
+    batches = dataset.map_dataset(df, lambda b: {"n": [len(b)] * len(b)}, batched=True, batch_size=2, cache_path=f"{tmp_path}/batches", **options)
+    assert shard_of(batches.collect()) == [2, 2, 1] * 3 + [2, 2]
+    assert dataset.map_dataset(df.limit(0), lambda i: {"n": i}, cache_path=f"{tmp_path}/none", **options).count() == 0
+    with pytest.raises(ValueError):
+        dataset.map_dataset(df, lambda i: {"n": i}, keep=True, cache_path=path, **options)
+
+
 def test_chained(spark):
     a, b = (spark.createDataFrame([(x,) for x in xs], "v long") for xs in ([3, 1, 2], [9, 8]))
     c = dataset.Chained([a, b], ["v"])
