@@ -37,7 +37,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word Jaccard similarities of 0.8 or more: that of the smallest id (of rows that share it, or of a group without ids, the row whose text has the smallest hash)."""
+    """One document of each group that SimHash by BK-trees, confirmed by exact comparison, and the exact way beyond its radius link (five-word Jaccard similarity of 0.8 or more): that of the smallest id (of rows that share it, or of a group without ids, the row whose text has the smallest hash)."""
     hashed = F.xxhash64("text")
     found = written(similar(docs.select("doc_id", "text", hashed.alias("__h")), keep=["doc_id", "__h"]), "groups")  # decisions go by hashes; texts move once, at the end
     # of each group the smallest id, then the smallest hash of a text; ids come before rows without one

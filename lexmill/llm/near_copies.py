@@ -1,4 +1,4 @@
-"""Near copies by exact Jaccard similarity of word shingles, found by prefixes of the sorted sets.
+"""Near copies of word-shingle Jaccard similarity 0.8 or more: SimHash by BK-trees, confirmed, and an exact way for what its radius misses.
 
 1. A text's set holds the hashes of its five-word shingles (fewer words: one shingle of
    all). Texts of the same set share a key; from here on only distinct sets count.
@@ -7,14 +7,18 @@
    passages out of the prefixes. Two sets of similarity 0.8 or more share one of the
    first n - ceil(0.8 n) + 1 hashes of each (the prefix), so candidates meet in the buckets
    of these. Nothing is missed.
-3. A shortcut: sets that share several buckets with the smallest key of each are compared
-   first. Most large groups are one component then, and their pairs need not be taken.
+3. Each set has a SimHash of its shingles. The BK-trees of `simhash.links` connect those
+   within `radius` bits, sets of one SimHash go with its smallest key, and the exact
+   similarity confirms each of these pairs. So do sets that share several buckets with the
+   smallest key of each. Most groups are one component then, and their pairs need not be
+   taken. Two texts at 0.8 differ in some 9 bits, so step 4 finds the others.
 4. In a bucket that still holds several components, the pairs across them are taken. How
    many buckets a pair shares, and where the last of them stands in both, rules out exactly
    those that differ in too many hashes; exact similarity decides on the rest. A bucket of
    over `chunk` sets becomes several, each compared with the bucket's other rows.
 
-Null and empty texts have no shingles and are one group.
+Null and empty texts have no shingles and are one group. Rows are answered each, repeated
+ones too. Other columns are kept, but for one named group_key. An empty table gives none.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexmill.llm.common import map_texts, written
-from lexmill.llm.simhash import TABLE, components
+from lexmill.llm.simhash import TABLE, components, fingerprint_of, links
 
 SHINGLE = 5
 #: Rows of two longs that are broadcast at most; more are shuffled.
@@ -71,7 +75,8 @@ def prefix(own: np.ndarray, common: np.ndarray) -> np.ndarray:
 
 def _prints(texts: list, common: np.ndarray) -> list[pa.Array]:
     own = [shingles(t) for t in texts]
-    return [pa.array([key_of(x) for x in own], pa.int64()), pa.array([len(x) for x in own], pa.int64()), _lists([prefix(x, common) for x in own])]
+    prints = [pa.array([f(x) for x in own], pa.int64()) for f in (key_of, len, fingerprint_of)]
+    return [*prints, _lists([prefix(x, common) for x in own])]
 
 
 def _common(docs: DataFrame, text: str) -> np.ndarray:
@@ -137,26 +142,39 @@ def _fit(met: DataFrame) -> DataFrame:
     return pairs.where(9 * alone <= F.col("na") + F.col("nb")).select("a", "b")
 
 
-def near_copies(docs: DataFrame, text: str = "text", keep: list[str] | None = None, chunk: int = 500) -> DataFrame:
+def _by_simhash(prints: DataFrame, radius: int) -> DataFrame:
+    """(a, b): keys of sets that one SimHash or an edge of the BK-trees brings together."""
+    heads = written(prints.groupBy("fp").agg(F.min("key").alias("head"), F.max("key").alias("last")), "heads")
+    edges = links(heads.select("fp"), radius).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left, right = heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), heads.select(F.col("fp").alias("b"), F.col("head").alias("y"))
+    across = edges.join(left, "a").join(right, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    # most SimHashes have one set: the others' sets alone are looked up, each once
+    same = prints.select("fp", "key").distinct().join(heads.where("head < last"), "fp").where("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b"))
+    return across.unionAll(same)
+
+
+def near_copies(docs: DataFrame, text: str = "text", keep: list[str] | None = None, chunk: int = 500, radius: int = 3) -> DataFrame:
     """The kept columns with group_key: rows of one value are linked by similarities of 0.8 or more."""
     out = docs.columns if keep is None else keep
-    docs = docs.withColumn("__text_hash", F.xxhash64(F.col(f"`{text}`")))
-    fields = [T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))]
+    row = F.struct(*[F.col(f"`{c}`") for c in out], F.lit(0).alias("__none"))  # in a struct no name clashes
+    docs, text = docs.select(row.alias("__row"), F.col(f"`{text}`").alias("__text"), F.xxhash64(F.col(f"`{text}`")).alias("__text_hash")), "__text"
+    fields = [*(T.StructField(c, T.LongType()) for c in ("key", "n", "fp")), T.StructField("prefix", T.ArrayType(T.LongType()))]
     common = docs.sparkSession.sparkContext.broadcast(_common(docs, text))
 
     def make():
         return lambda texts: _prints(texts, common.value)
 
-    prints = written(map_texts(docs, text, fields, make, [*out, "__text_hash"]), "prints")
+    prints = written(map_texts(docs, text, fields, make, ["__row", "__text_hash"]), "prints")
     # copies of a set have all their buckets in common: these count once, by the smallest and the largest key
     postings = prints.select("key", "n", F.posexplode("prefix").alias("at", "s"))
     buckets = written(postings.groupBy("s").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("s", "low"), "buckets")
     met = written(postings.join(buckets, "s").distinct(), "met")
     sizes = met.select(F.col("key").alias("a"), F.col("n").alias("na")).distinct()
     star = met.where("key <> low").select(F.col("low").alias("a"), F.col("key").alias("b"), "n").groupBy("a", "b", "n").count().where("count > 2").join(sizes, "a")
-    star = written(star.where("5 * least(n, na) >= 4 * greatest(n, na)").select("a", "b"), "star")
-    links = written(_near(_sets(docs, text, prints, star, "star_sets"), star), "links")
-    roots = written(components(links), "roots")
+    star = star.where("5 * least(n, na) >= 4 * greatest(n, na)").select("a", "b")
+    first = written(_by_simhash(prints, radius).unionAll(star).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "first")
+    sure = written(_near(_sets(docs, text, prints, first, "first_sets"), first), "sure")
+    roots = written(components(sure), "roots")
     more = met.select("s", "key", "n", "at").join(roots, met.key == roots.node, "left").select("s", "key", "n", "at", F.coalesce("root", "key").alias("root"))
     open_ = more.groupBy("s").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("s", "size")
     chunks = F.ceil(F.col("size") / chunk).cast("int")
@@ -166,5 +184,5 @@ def near_copies(docs: DataFrame, text: str = "text", keep: list[str] | None = No
     pairs = written(_fit(_across(more)), "pairs")
     if not pairs.isEmpty():
         late = _near(_sets(docs, text, prints, pairs, "pair_sets"), pairs)
-        roots = components(links.unionAll(late))
-    return prints.join(roots, prints.key == roots.node, "left").select(*[F.col(f"`{c}`") for c in out], F.coalesce("root", "key").alias("group_key"))
+        roots = components(sure.unionAll(late))
+    return prints.join(roots, prints.key == roots.node, "left").select(*[F.col("__row")[c].alias(c) for c in out if c != "group_key"], F.coalesce("root", "key").alias("group_key"))

@@ -40,6 +40,23 @@ BITS = 64
 PIECE = 1 << 16  # shingles counted at once
 
 
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """For each bit, how many of the 64-bit hashes have it."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def _majority(counts: np.ndarray, n: int) -> int:
+    return int(np.packbits(counts * 2 > n, bitorder="little").view("<i8")[0])
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The SimHash of shingles by their hashes; zero for none."""
+    counts = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), PIECE):
+        counts += _ones(hashes[at : at + PIECE])
+    return _majority(counts, len(hashes))
+
+
 def fingerprint(text: bytes | None, shingle: int = 3) -> int:
     """The text's SimHash as a signed 64-bit integer."""
     words = [w for w in (text or b"").translate(TABLE).split(b" ") if w]
@@ -50,9 +67,8 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
     for at in range(0, n, PIECE):
         runs = [words[at + j : min(at + PIECE, n) + j] for j in range(k)]
         hashes = np.array([h(s, 42) for s in map(b" ".join, zip(*runs, strict=True))], dtype="<u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(counts * 2 > n, bitorder="little")
-    return int(bits.view("<i8")[0])
+        counts += _ones(hashes)
+    return _majority(counts, n)
 
 
 class BKTree:

@@ -2,6 +2,7 @@ import random
 
 import corpus_pipeline
 from lexmill.llm import near_copies as S
+from pyspark.sql import functions as F
 
 
 def jaccard(a, b):
@@ -67,3 +68,27 @@ def test_stage_keeps_a_row_of_each_group_that_shares_an_id(spark):
     rows = [(1, texts[0]), (1, texts[1]), (2, texts[0]), (2, texts[1])]
     got = corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert sorted((r.doc_id, r.text) for r in got.collect()) == [(1, texts[0]), (1, texts[1])]
+
+
+def test_simhash_brings_close_copies_together(spark):
+    words = [f"w{i}" for i in range(400)]
+    edited, other = list(words), [f"v{i}" for i in range(400)]
+    edited[200] = "x"
+    texts = [" ".join(words), " ".join(edited), " ".join(other), "", None]
+    own = [S.shingles(None if t is None else t.encode()) for t in texts]
+    keys, fps = [S.key_of(x) for x in own], [S.fingerprint_of(x) for x in own]
+    bits = ((fps[0] ^ fps[1]) & (1 << 64) - 1).bit_count()
+    assert fps[3] == fps[4] == 0 and 0 < bits < 9
+    prints = spark.createDataFrame([*zip(fps, keys, strict=True)] * 2 + [(fps[2], 5)], "fp long, key long")
+    pairs = lambda radius: {frozenset((r.a, r.b)) for r in S._by_simhash(prints, radius).collect()}
+    same = frozenset((keys[2], 5))
+    assert pairs(bits) == {same, frozenset(keys[:2])} and pairs(bits - 1) == {same}
+
+
+def test_clashing_names_and_empty_tables(spark):
+    df = spark.createDataFrame([(1, "a b", 7, 8, 9), (2, "a b", 7, 8, 9), (None, None, 7, 8, 9)], "doc_id long, text string, fp int, key int, n int").withColumn("group_key", F.lit("old"))
+    out = S.near_copies(df)
+    assert out.columns == ["doc_id", "text", "fp", "key", "n", "group_key"]
+    rows = out.collect()
+    assert len(rows) == 3 and {(r.fp, r.key, r.n) for r in rows} == {(7, 8, 9)} and len({r.group_key for r in rows}) == 2
+    assert S.near_copies(df.limit(0)).count() == 0
