@@ -53,3 +53,37 @@ def test_cases(spark):
     got = S.classify(df.drop("__symbols"), one).collect()
     assert len(got) == 7 and all(r.predicted in (0, 1) for r in got)
     assert S.classify(df.limit(0), one).count() == 0
+
+
+def plain(text):
+    """The statistics by loops over characters, words and lines."""
+    t = text.encode()
+    words, lines, n = t.split(), t.split(b"\n"), max(len(t), 1)
+    many = max(len(words), 1)
+    share = lambda chars: 1000 * sum(t.count(bytes([c])) for c in chars) / n
+    runs = [words[i : i + 64] for i in range(0, len(words), 64)]
+    adjacent = sum(words[i] == words[i + 1] for i in range(len(words) - 1))
+    repeated = sum(line in lines[:i] for i, line in enumerate(lines))
+    return {
+        "log_words": np.log2(len(words) + 1), "word_length": sum(len(w) for w in words) / many, "symbols": share(b"#*$%&<>~^_=+@\\"), "pipes": share(b"|"), "upper": share(range(65, 91)), "bangs": share(b"!?"),
+        "digits": share(range(48, 58)), "periods": share(b"."), "commas": share(b","), "other_marks": share(b"\"'();:/-[]{}`"), "non_ascii": share(range(128, 256)), "distinct": 1000 * sum(len(set(r)) for r in runs) / many,
+        "adjacent": 1000 * adjacent / many, "words_a_line": len(words) / len(lines), "dup_lines": 1000 * repeated / len(lines), "capitals": 1000 * sum(w.istitle() for w in words) / many,
+        "stop_words": 1000 * sum(w.lower() in S.STOP_WORDS for w in words) / many, "longest_word": min(max([0, *(len(w) for w in words)]), 1000),
+    }
+
+
+def test_whole_query_against_a_plain_version(spark):
+    """Statistics by loops, and the fitted rules applied one by one, for every document."""
+    d = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    e = S.train(docs, labels)
+    got = {r.doc_id: r for r in S.op4(spark, d).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        x = plain(r.text or "")
+        assert np.allclose(S.stats_of((r.text or "").encode()), [x[s] for s in S.STATS])
+        z = e.intercept
+        for rule, w in zip(e.rules, e.weights, strict=True):
+            z += w * all((x[S.STATS[k]] > at) == above for k, above, at in rule.terms)
+        assert abs(got[r.doc_id].score - 1 / (1 + np.exp(-z))) < 1e-9 and got[r.doc_id].predicted == (got[r.doc_id].score >= 0.3)
