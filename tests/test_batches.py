@@ -1,9 +1,11 @@
 """Many documents in a few array operations, against one document at a time."""
 
+import random
 from collections import Counter
 
 import pyarrow as pa
-from lexmill.operators import batches, graph
+import pytest
+from lexmill.operators import batches, graph, phrases
 from pyspark.sql import functions as F
 
 TEXTS = [(1, "b a b c d e a"), (2, ""), (3, None), (4, "x x x"), (5, "ü z a \U00010400 z é"), (6, "one"), (7, " ".join("pqrst"[i * i % 5] for i in range(40)))]
@@ -43,3 +45,30 @@ def test_pieces_hold_all_rows_and_few_tokens():
     batch = pa.RecordBatch.from_pydict({"t": [["a"] * n for n in (0, 3, 0, 9, 1, 1, 1, 0)]})
     parts = list(batches.pieces(batch, batches.lengths(batch.column(0)), 4))
     assert pa.Table.from_batches(parts).to_pydict() == batch.to_pydict() and max(p.num_rows for p in parts) <= 4
+
+
+@pytest.mark.parametrize("rules", [{}, {"strict": False}, {"strict": False, "max_window": 3, "allow_place": False}, {"specified": ["bb", "e"]}, {"remove_words": ["bb"], "remove_phrases": ["a c"]}, {"max_chars": 4}])
+def test_ngrams_of_a_pass_are_the_candidates(spark, monkeypatch, rules):
+    rnd, tags = random.Random(8), {"a": "n", "bb": "a", "c": "ns", "dd": "nr", "e": "v", "ff": "u", "時": "n", "de": "n"}
+    tagger = lambda t: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in tags.items() for x in kv]), t), F.lit("n"))
+    docs = spark.createDataFrame([(d, ". ".join(" ".join(rnd.choice(list(tags)) for _ in range(rnd.randrange(9))) for _ in range(4))) for d in range(12)] + [(99, None), (98, "")], "doc_id long, text string")
+    idf, topic = spark.createDataFrame([("a", 1.0), ("bb", 3.0)], "token string, weight double"), spark.createDataFrame([("a", 0.5), ("c", 0.25)], "token string, weight double")
+    found = phrases.weighted_sentences(docs, idf, topic, criterion="latin_fine", tagger=tagger)
+    want = sorted((*r[:5], round(r.score, 9)) for r in phrases.phrase_scores(phrases.candidates(phrases.weighted_tokens(found), **rules)).drop("p").collect())
+    scored, plain = phrases.ngrams(found, **rules), phrases.ngrams(phrases.tagged_words(docs, "latin_fine", tagger), **rules)
+    assert sorted((*r[:5], round(r.score, 9)) for r in scored.collect()) == want and want
+    assert sorted(map(tuple, plain.collect())) == [r[:5] for r in want] and shuffles(plain) == 0  # without scores no weights are made
+
+
+def test_phrases_of_many_different_tokens_are_compared_too(spark):
+    """Single letters give n-grams of more than FEW different tokens."""
+    letters = "bcfgjkpqvwxz"
+    rnd = random.Random(2)
+    docs = [(d, ". ".join(" ".join(rnd.choice(letters) for _ in range(rnd.randrange(1, 12))) for _ in range(3))) for d in range(20)] + [(50, "river stone. stone river water")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    none = spark.createDataFrame([], "token string, weight double")
+    rows = phrases.phrase_scores(phrases.candidates(phrases.weighted_tokens(phrases.weighted_sentences(df, none, none, 1.0, 0.5, criterion="latin_fine")))).orderBy("doc_id", "sent", "pos", "n").collect()
+    got = phrases.key_phrases(df, none, none, 1.0, 0.5, top_k=None, criterion="latin_fine").orderBy("doc_id", "rank").collect()
+    for d, _ in docs:
+        own = [([x.token for x in r.p], r.phrase, r.score) for r in rows if r.doc_id == d]
+        assert [(r.phrase, round(r.score, 9)) for r in got if r.doc_id == d] == [(p, round(x, 9)) for p, x in phrases.without_overlap(own, None)]
