@@ -1,11 +1,14 @@
 """Many documents in a few array operations, against one document at a time."""
 
+import json
 import random
 from collections import Counter
 
 import pyarrow as pa
 import pytest
-from lexmill.operators import batches, graph, phrases
+from lexmill import catalogue
+from lexmill.operators import batches, graph, phrases, terms
+from lexmill.sources import corpus
 from pyspark.sql import functions as F
 
 TEXTS = [(1, "b a b c d e a"), (2, ""), (3, None), (4, "x x x"), (5, "ü z a \U00010400 z é"), (6, "one"), (7, " ".join("pqrst"[i * i % 5] for i in range(40)))]
@@ -72,3 +75,42 @@ def test_phrases_of_many_different_tokens_are_compared_too(spark):
     for d, _ in docs:
         own = [([x.token for x in r.p], r.phrase, r.score) for r in rows if r.doc_id == d]
         assert [(r.phrase, round(r.score, 9)) for r in got if r.doc_id == d] == [(p, round(x, 9)) for p, x in phrases.without_overlap(own, None)]
+
+
+def test_counts_of_a_row_in_one_pass(spark):
+    df = spark.createDataFrame([(d, t, "s") for d, t in TEXTS], "doc_id long, text string, topic string")
+    tf = terms.row_frequency(df, split(), "topic")
+    assert shuffles(tf) == 0 and tf.columns == ["doc_id", "topic", "token", "tf"]
+    assert {(r.doc_id, r.token): r.tf for r in tf.collect()} == Counter((d, t) for d, x in TEXTS for t in (x or "").split())
+    twice = terms.row_frequency(df.union(df.where("doc_id = 1")), split(), "topic")  # rows of one document meet
+    assert {r.token: r.tf for r in twice.where("doc_id = 1").collect()} == {"b": 4, "a": 4, "c": 2, "d": 2, "e": 2}
+
+
+def test_svmlight_is_read_without_dense_arrays(spark, monkeypatch):
+    """The dense array of the whole vocabulary for each document was what took the time."""
+    import pyspark.ml.functions
+
+    monkeypatch.setattr(pyspark.ml.functions, "vector_to_array", None)
+    rows = catalogue.queries()["svmlight_round_trip"](spark, "/root/testdata/sf0.001")
+    assert rows.count() > 0 and "sequence(" not in rows._jdf.queryExecution().toString()
+
+
+def test_weight_objects_of_any_size_are_written_by_many_tasks(spark, tmp_path):
+    """More tokens than the million at which one task's object ended with an error."""
+    n = 1_000_100
+    corpus.write_weight_object(spark.range(n).select(F.concat(F.lit('w"{'), "id").alias("token"), (F.col("id") % 1000 / 8).alias("weight")), f"{tmp_path}/w")
+    files = sorted(p for p in (tmp_path / "w").iterdir() if p.name.startswith("part"))
+    whole = json.loads("".join(p.read_text() for p in files))
+    assert len(files) > 1 and len(whole) == n and list(whole.items())[:2] == [('w"{0', 0.0), ('w"{1000', 0.0)]
+    read = corpus.read_weights(spark, f"{tmp_path}/w")
+    assert read.agg(F.count("*"), F.max("place"), F.count_distinct("place")).first()[:] == (n, n - 1, n)
+    ends = {r.place: (r.token, r.weight) for r in read.where(F.col("place").isin(0, 1, 2000, n - 1)).collect()}
+    assert ends == {k: list(whole.items())[k] for k in (0, 1, 2000, n - 1)}
+
+
+def test_weight_objects_of_other_hands(spark, tmp_path):
+    for k, text in enumerate(['{"a": 0.5, "ü": 2}', '{\n "a": 0.5,\n "ü": 2\n}', '{"a":\n0.5, "ü"\n: 2}']):
+        (tmp_path / f"{k}.json").write_text(text)
+        assert sorted(map(tuple, corpus.read_weights(spark, f"{tmp_path}/{k}.json").collect())) == [(0, "a", 0.5), (1, "ü", 2.0)]
+    corpus.write_weight_object(spark.createDataFrame([], "token string, weight double"), f"{tmp_path}/none")
+    assert corpus.read_weights(spark, f"{tmp_path}/none").count() == 0
