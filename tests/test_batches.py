@@ -1,14 +1,18 @@
 """Many documents in a few array operations, against one document at a time."""
 
 import json
+import math
 import random
 from collections import Counter
 
 import pyarrow as pa
 import pytest
 from lexmill import catalogue
-from lexmill.operators import batches, graph, phrases, terms
+from lexmill.functions import clean
+from lexmill.operators import batches, graph, metrics, phrases, terms, topics
 from lexmill.sources import corpus
+from pyspark.ml.clustering import LDAModel
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 TEXTS = [(1, "b a b c d e a"), (2, ""), (3, None), (4, "x x x"), (5, "ü z a \U00010400 z é"), (6, "one"), (7, " ".join("pqrst"[i * i % 5] for i in range(40)))]
@@ -114,3 +118,39 @@ def test_weight_objects_of_other_hands(spark, tmp_path):
         assert sorted(map(tuple, corpus.read_weights(spark, f"{tmp_path}/{k}.json").collect())) == [(0, "a", 0.5), (1, "ü", 2.0)]
     corpus.write_weight_object(spark.createDataFrame([], "token string, weight double"), f"{tmp_path}/none")
     assert corpus.read_weights(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_perplexity_is_sparks_without_its_sum(spark, monkeypatch):
+    rnd = random.Random(1)
+    rows = [(i, Vectors.sparse(30, {rnd.randrange(30): float(rnd.randrange(1, 4)) for _ in range(8)})) for i in range(40)] + [(90, Vectors.sparse(30, {})), (91, Vectors.dense([0.0, 2.0, *[0.0] * 28]))]
+    f = spark.createDataFrame(rows, ["doc_id", "features"])
+    m = topics.TopicModel(3, seed=3, chunk_share=0.5).fit(f)
+    want, likely = m.model.logPerplexity(f), m.model.logLikelihood(f)
+    monkeypatch.setattr(LDAModel, "logPerplexity", None)  # it takes a table of the vocabulary's size for each document
+    assert m.log_perplexity(f) == pytest.approx(want, rel=1e-3) and m.score(f) == pytest.approx(likely, rel=1e-3)
+    x = [0.05, 0.5, 3.0, 700.0]
+    assert topics.log_gamma(x).tolist() == pytest.approx([math.lgamma(v) for v in x], rel=1e-10)
+    assert topics.digamma(x).tolist() == pytest.approx([(math.lgamma(v + 1e-5) - math.lgamma(v - 1e-5)) / 2e-5 for v in x], rel=1e-6)
+
+
+def test_word_vectors_are_trained_by_several_tasks(spark, monkeypatch):
+    seen, init = [], metrics.Word2Vec
+    monkeypatch.setattr(metrics, "Word2Vec", lambda **o: (seen.append(o["numPartitions"]), init(**o))[1])
+    df = spark.createDataFrame([(["a", "b", "c", "a"],)] * 25, "tokens array<string>")
+    assert {r.token for r in metrics.word_vectors(df, docs_each=10).collect()} == {"a", "b", "c"} and seen == [3]
+    assert metrics.word_vectors(df).count() == 3 and seen == [3, 1]
+
+
+def test_cleaning_with_and_without_what_it_looks_for(spark):
+    texts = ["plain", None, "", "a<b>c", "a < b", "x &amp;lt; y", "ＡＢ　ｃ", "call 13812345678 or 010-1234567.", "010)13812345678 12345678", "+1 212 5551234 x", "(010)12345678", "http://a.b/c www.x.y z", "://", "a@b.cc @"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    t = F.col("text")
+    plain = F.regexp_replace(t, clean.TAG, "")
+    for entity, char in clean.ENTITIES.items():
+        plain = F.replace(plain, F.lit(entity), F.lit(char))
+    plain = F.regexp_replace(F.translate(plain, clean.FULL, clean.HALF), clean.URL, "")
+    plain = F.concat(F.lit(clean.SENTINEL), F.regexp_replace(plain, clean.EMAIL, ""), F.lit(clean.SENTINEL))
+    for p in (clean.MOBILE, clean.MOBILE, clean.LANDLINE, clean.LANDLINE):
+        plain = F.regexp_replace(plain, p, "$1$2")
+    got = df.select(clean.clean(t, ("tags", "entities", "width", "urls", "emails", "phones")).alias("x"), F.substring(plain, F.lit(2), F.length(plain) - 2).alias("y")).collect()
+    assert [r.x for r in got] == [r.y for r in got] and got[1].x is None
