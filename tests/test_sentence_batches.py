@@ -3,10 +3,16 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+from lexmill.functions import tokens as K
+from lexmill.functions.clean import clean, strip
+from lexmill.functions.split import sentences
 from lexmill.operators import graph, textrank
 from pyspark.sql import functions as F
 from test_operators import dense
 
+ODD = [(1, None), (2, ""), (3, "Solo"), (4, "Alpha beta gamma. Beta gamma delta! Gamma delta alpha? Six."), (5, "12. 34"), (6, "the and of. is. 12 rain")]
+
 
 def test_weights_of_documents_need_no_shuffle(spark):
     rnd = random.Random(5)
@@ -31,3 +37,23 @@ def test_graphs_together_are_each_alone():
         s, order = graph.SentenceGraphs(np.array([len(d) for d in docs]), np.array([len(s) for d in docs for s in d]), code).rank(signed=signed, max_iter=rounds)
         alone = [graph.SentenceGraph(d).rank(signed=signed, max_iter=rounds) for d in docs]
         assert s.tolist() == [x for a, _ in alone for x in a.tolist()] and order.tolist() == [x for _, o in alone for x in o]
+
+
+def test_words_are_filtered_as_by_the_columns(spark):
+    words = ["the", "der", "rain", "12", "1", "３", "三", "三日", "今天", "12月", "北京市", "市", "monday", "mondays", "january", "x1", "1x", "程序员", "é", "ñandú", "カナ", "한글", "Ⅷ", "½", "nicht", "没有", "a", "五"]
+    for script in ("letters", "han", None):
+        want = spark.createDataFrame([(words,)], "w array<string>").select(K.filter_tokens(F.col("w"), script=script)).first()[0]
+        assert [w for w, k in zip(words, K.kept_words(pa.array(words), script), strict=True) if k] == want
+
+
+def test_ranks_of_a_batch_are_those_of_each_document(spark):
+    """No word is filtered where it stands: the plan holds no filter for each token, and the results are the same."""
+    docs = spark.createDataFrame(ODD, "doc_id long, text string").coalesce(1)
+    got = textrank.sentence_ranks(docs, "latin_coarse", keep=["doc_id"])
+    assert "january" not in got._jdf.queryExecution().executedPlan().toString()
+    tokens = F.transform(F.filter(F.transform(sentences(clean(F.col("text")), "latin_coarse"), strip), lambda s: s != ""), lambda s: K.filter_tokens(K.tokenize(s), script="letters"))
+    summaries = {r.doc_id: r.summary for r in textrank.summarize(docs, 2, "latin_coarse").collect()}
+    for r, own in zip(got.orderBy("doc_id").collect(), docs.select("doc_id", tokens.alias("t"), sentences(F.col("text"), "latin_coarse").alias("s")).orderBy("doc_id").collect(), strict=True):
+        s, order = graph.SentenceGraph(own.t or []).rank()
+        assert r.scores == s.tolist() and r.ranks == order
+        assert summaries[r.doc_id] == "".join(own.s[i].strip() for i in order[:2])
