@@ -7,7 +7,7 @@ import pyarrow as pa
 from lexmill.functions import tokens as K
 from lexmill.functions.clean import clean, strip
 from lexmill.functions.split import sentences
-from lexmill.operators import graph, textrank
+from lexmill.operators import batches, graph, summary, textrank
 from pyspark.sql import functions as F
 from test_operators import dense
 
@@ -57,3 +57,33 @@ def test_ranks_of_a_batch_are_those_of_each_document(spark):
         s, order = graph.SentenceGraph(own.t or []).rank()
         assert r.scores == s.tolist() and r.ranks == order
         assert summaries[r.doc_id] == "".join(own.s[i].strip() for i in order[:2])
+
+
+def test_sentence_weights_do_not_depend_on_which_words_are_common(spark):
+    """Words are weighed in place or by the join; tokens of documents are shuffled in neither case."""
+    rnd = random.Random(7)
+    rows = [(d, " ".join(rnd.choice("abcdefgh") * rnd.randrange(1, 4) + rnd.choice(["", "", ".", "!"]) for _ in range(rnd.randrange(60)))) for d in range(40)]
+    docs = spark.createDataFrame([*rows, (100, None), (101, "12. 34")], "doc_id long, text string")
+    idf, topic = {w * n: rnd.random() for w in "abcdef" for n in (1, 2)}, {w * n: rnd.random() for w in "cdefgh" for n in (2, 3)}
+    tables = [spark.createDataFrame(list(x.items()), "token string, weight double") for x in (idf, topic)]
+    sents = summary.kept_sentences(docs, "latin_coarse", cleaned=False)
+    want = {}
+    for r in sents.collect():
+        tokens = [t for s in r.sents or [] for t in s.tokens]
+        for i, s in enumerate(r.sents or []):
+            w = [0.2 * topic.get(t, 0.4) + tokens.count(t) / len(tokens) * idf.get(t, 0.3) for t in s.tokens]
+            want[r.doc_id, i] = sum(w) / len(w) * (1 if 15 <= len(s.sentence) <= 70 else 0.7) * (1.2 if i < 3 else 1)
+    for most in (0, 5, 1000):
+        found = summary.document_weights(sents, *tables, 0.3, 0.4, keep=["doc_id"], most=most)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert found.columns == ["doc_id", "weights"] and "sentences" not in plan and "tokens" not in plan
+        got = {(r.doc_id, i): w for r in found.collect() for i, w in enumerate(r.weights)}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    none = [x.where("false") for x in tables]
+    assert summary.document_weights(sents, *none).count() == 42 and {r.weight for r in summary.sentence_weights(sents, *none).collect()} == {0.0}
+
+
+def test_counts_by_label_are_summed_before_they_are_shuffled(spark):
+    docs = spark.createDataFrame([(1, "x", "a b a"), (2, "x", "a"), (3, None, "a c"), (4, "y", None), (5, None, "c c")], "doc_id long, topic string, text string").coalesce(1)
+    got = batches.label_counts(docs, "topic", K.tokenize(F.col("text")))
+    assert {tuple(r) for r in got.collect()} == {("x", "a", 2, 3), ("x", "b", 1, 1), (None, "a", 1, 1), (None, "c", 2, 3)}
