@@ -5,8 +5,8 @@ import random
 import numpy as np
 import pyarrow as pa
 from lexmill.functions import tokens as K
-from lexmill.functions.clean import clean, strip
-from lexmill.functions.split import sentences
+from lexmill.functions.clean import STEPS, _phones, clean, strip
+from lexmill.functions.split import MARKS, listed, sentences
 from lexmill.operators import batches, graph, summary, textrank
 from pyspark.sql import functions as F
 from test_operators import dense
@@ -87,3 +87,18 @@ def test_counts_by_label_are_summed_before_they_are_shuffled(spark):
     docs = spark.createDataFrame([(1, "x", "a b a"), (2, "x", "a"), (3, None, "a c"), (4, "y", None), (5, None, "c c")], "doc_id long, topic string, text string").coalesce(1)
     got = batches.label_counts(docs, "topic", K.tokenize(F.col("text")))
     assert {tuple(r) for r in got.collect()} == {("x", "a", 2, 3), ("x", "b", 1, 1), (None, "a", 1, 1), (None, "c", 2, 3)}
+
+
+def test_short_ways_of_cleaning_and_splitting_are_the_long_ones(spark):
+    """Latin-1 texts are cleaned, and texts without quotes split, by patterns of their own."""
+    rnd = random.Random(8)
+    signs = [*"ab1+.,!?\n\r\t  -()[]{}<>@&#\x00\x1f\x7f\xa0\xad\x85éß", "“", "”", "…", "，", "。", "（", "）", "　", "Ａ", "\u200b", "&amp;", "13812345678", "0123-4567890", "+49 301 2345678", "www.a.b", "a@b.cd", "http://x.y"]
+    texts = [(i, "".join(rnd.choices(signs[: 36 if i % 2 else None], k=rnd.randrange(40)))) for i in range(3000)] + [(-1, None)]
+    df = spark.createDataFrame(texts, "i long, text string")
+    long = F.col("text")
+    for s in (STEPS | {"phones": _phones}).values():
+        long = s(long)
+    three = lambda c: "(?<=[{0}])(?=“)|(?<=[{1}])(?=[^{0}])|(?<=[{0}]”)(?=[^{0}])".format(listed(c), listed(c.replace("“", "").replace("”", "")))
+    assert df.where(~clean(F.col("text")).eqNullSafe(long)).count() == 0
+    for name, chars in MARKS.items():
+        assert df.where(~sentences(F.col("text"), name).eqNullSafe(F.filter(F.split("text", three(chars), -1), lambda s: s != ""))).count() == 0
